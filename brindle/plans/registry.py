@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import answering, retrieval, understanding
+
+QUERIES = retrieval.QUERIES | understanding.QUERIES | answering.QUERIES
+ORACLE = retrieval.ORACLE | understanding.ORACLE | answering.ORACLE
