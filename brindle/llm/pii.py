@@ -44,7 +44,7 @@ HOMOGLYPHS = {
     "․": ".", "。": ".", "﹒": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹫": "@", "ı": "i", "ɡ": "g", "ℓ": "l",
 }
 # Characters without width.
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 # Digits as words.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -62,7 +62,7 @@ _ANY_AT, _ANY_DOT = rf"(?:@|{_B_AT}|\s+(?:{_AT})\s+)", rf"(?:\.|{_B_DOT}|\s+(?:{
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME})*?{_ANY_AT}{_PART}(?:{_ANY_DOT}{_PART})+")
 _AT_IN = re.compile(rf"(?i){_B_AT}|\s+(?:{_AT})\s+")
 _DOT_IN = re.compile(rf"(?i){_B_DOT}|\s+(?:{_DOT})\s+")
-_ODD = re.compile("[ı­ɡͰ-\U0010ffff]")
+_ODD = re.compile("[\u0131\u00ad\u0261\u0370-\U0010ffff]")
 _DOT_WORD = re.compile(rf"(?i)(?<!\w)(?:{_DOT})(?!\w)|[\(\[\{{<]\s*(?:@|\.|(?:{_AT})\s*[\)\]\}}>])")
 #: Words that also stand in ordinary text; a run of digit words needs others too.
 _TELLING = frozenset(DIGIT_WORDS) - {"un", "oh", "null", "plus"}
