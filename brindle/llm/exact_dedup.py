@@ -13,7 +13,8 @@ copies of any size costs one row a task. The one join back on digests is a plain
 adaptive execution splits where one digest holds many rows.
 
 Defined cases: null text counts as empty; empty texts are equal to one another; repeated rows of one doc_id
-each give a row; ties cannot arise, since the smallest doc_id wins; an empty table gives an empty result;
+each give a row; a missing doc_id
+wins only in a group without any, and its keep_id is null; ties cannot arise, since the smallest doc_id wins; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -31,6 +32,8 @@ from .common import U64, Work, mix, text_bytes
 SPACES = "[\\x20\\x09-\\x0D]+"
 GAMMA = 2.0
 BUCKET_KEYS = 100_000
+#: Stands for a missing doc_id, which never wins over another.
+NO_ID = (1 << 63) - 1
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -122,12 +125,12 @@ def exact_groups(rows: DataFrame, work: Work, is_history: F.Column | None = None
     """rows: doc_id, digest. One row for each distinct digest: digest, keep_id, group_size."""
     if is_history is None:  # a stable half of the ids stands for what an earlier run has indexed
         is_history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    first = (rows.groupBy("digest", is_history.alias("old")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    first = rows.groupBy("digest", is_history.alias("old")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id"), F.count("*").alias("n"))
     first = work.keep(first, "distinct")
     buckets = max(8, math.ceil(first.count() / BUCKET_KEYS))
     first = first.withColumn("bucket", F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(buckets)))
     index = work.keep(first.filter("old").groupBy("bucket").applyInArrow(_build, INDEX), "index")
-    return first.filter("not old").drop("old").groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_probe, HITS)
+    return first.filter("not old").drop("old").groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_probe, HITS).withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID)))
 
 
 def exact_dedup(docs: DataFrame, is_history: F.Column | None = None) -> DataFrame:
@@ -136,4 +139,4 @@ def exact_dedup(docs: DataFrame, is_history: F.Column | None = None) -> DataFram
     rows = work.keep(digests(docs), "digests")
     groups = exact_groups(rows, work, is_history)
     return rows.join(groups, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
