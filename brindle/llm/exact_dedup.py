@@ -125,7 +125,7 @@ def exact_groups(rows: DataFrame, work: Work, is_history: F.Column | None = None
     """rows: doc_id, digest. One row for each distinct digest: digest, keep_id, group_size."""
     if is_history is None:  # a stable half of the ids stands for what an earlier run has indexed
         is_history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    first = rows.groupBy("digest", is_history.alias("old")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id"), F.count("*").alias("n"))
+    first = rows.groupBy("digest", F.coalesce(is_history, F.lit(False)).alias("old")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id"), F.count("*").alias("n"))
     first = work.keep(first, "distinct")
     buckets = max(8, math.ceil(first.count() / BUCKET_KEYS))
     first = first.withColumn("bucket", F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(buckets)))
