@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return s
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", keep: Column | None = None) -> DataFrame:
     """queries: query_id, vector. vectors: chunk_id, vector (and what keep needs). query_id, chunk_id, score, rank.
 
@@ -40,17 +45,17 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     x = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("chunk_id"), F.lit(width)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("part"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        ids, qm = right["query_id"].to_numpy(), np.stack(right["vector"].to_numpy())
-        left = left.sort_values("chunk_id", kind="stable")
-        s = _scores(qm, np.stack(left["vector"].to_numpy()), metric)
+    def run(left, right):
+        names = {"query_id": right.schema.field("query_id").type, "chunk_id": left.schema.field("chunk_id").type, "score": pa.float64()}
+        if not left.num_rows or not right.num_rows:
+            return pa.schema(list(names.items())).empty_table()
+        left = left.sort_by("chunk_id")
+        s = _scores(_rows(right["vector"]), _rows(left["vector"]), metric)
         order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        return pd.DataFrame({"query_id": ids[rows], "chunk_id": left["chunk_id"].to_numpy()[order.ravel()], "score": s[rows, order.ravel()]})
+        rows = np.repeat(np.arange(right.num_rows), order.shape[1])
+        return pa.table({"query_id": right["query_id"].take(pa.array(rows)), "chunk_id": left["chunk_id"].take(pa.array(order.ravel())), "score": s[rows, order.ravel()]})
 
-    got = x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInPandas(run, f"query_id {qtype}, chunk_id {ctype}, score double")
+    got = x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(run, f"query_id {qtype}, chunk_id {ctype}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     score = -F.col("score") if metric == "l2" else F.col("score")
     return got.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round(score, 6).alias("score"), "rank")

@@ -23,7 +23,7 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
     full = F.url_decode(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"))
     base = path.split("://")[-1].removeprefix("file:").rstrip("/")
     relative = F.regexp_replace(F.substring_index(full, base, -1), "^/+", "")
-    return rows.select(F.regexp_extract(full, r"([^/]+)$", 1).alias("source_file"), relative.alias("relative_path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select(F.regexp_extract(full, r"([^/]+)$", 1).alias("source_file"), relative.alias("relative_path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"))
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

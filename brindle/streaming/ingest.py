@@ -13,7 +13,7 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """source_file, content_hash, text of .md files as they arrive."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     rows = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(path)
-    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
 
 
 def start(spark: SparkSession, path: str, out: str, checkpoint: str):
