@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.operators import answers, context, evaluation, sparse, sync
+from brindle.operators import answers, context, evaluation, models, pipeline, selection, sparse, sync
 from brindle.operators import dense as dn
 from brindle.operators import queries as qu
 from brindle.functions.text import strip
@@ -249,9 +249,46 @@ def compact_text(s, d):
     return C.table(s, d, "conversations").select("conv_id", "turn", F.md5(strip(F.regexp_replace("text", r"\s+", " "))).alias("digest"))
 
 
+def _folder(s, d):
+    """Documents cut into lines, and their vectors by the default encoder."""
+    lines = C.lines(s, d).filter("content <> ''")
+    return lines, models.embed(lines.select("chunk_id", "content"), "content").select("chunk_id", "vector")
+
+
+def full_search(s, d):
+    """Analysis, branches, both searchers, fusion, reranking by length, diversity, branch fusion, over all lines."""
+    lines, vectors = _folder(s, d)
+    out = pipeline.search(C.questions(s, d), lines, vectors, pipeline.Options(hyde="rule"), score=1.0 / (1 + F.abs(F.length("content") - F.length("query"))))
+    return out.select("query_id", "chunk_id", "fusion_score", "rank", F.array_join("matched_branches", ",").alias("branches"))
+
+
+def full_answers(s, d):
+    lines, vectors = _folder(s, d)
+    return pipeline.ask(C.questions(s, d), lines, vectors)["answers"].select("query_id", "is_fallback", "fallback_reason", "decision", "evidence_count")
+
+
+def quota_selection(s, d):
+    t = C.table(s, d, "documents").select("doc_id", "lang")
+    return selection.quota(t, "lang", {"en": 4, "de": 2, "fr": 1}, [F.col("doc_id")])
+
+
+def balanced_selection(s, d):
+    return selection.balanced(C.table(s, d, "documents").select("doc_id", "source"), "source", [F.col("doc_id")], 30)
+
+
+def plain_chunks(s, d):
+    t = C.table(s, d, "documents").select("doc_id", selection.plain_chunks("text").alias("c"))
+    return t.select("doc_id", F.size("c").alias("n"), F.coalesce(F.array_max(F.transform("c", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+def category_rules(s, d):
+    rules = [("loud", ["!!"]), ("table", [" | "]), ("mail", ["@"])]
+    return C.table(s, d, "documents").select("doc_id", qu.coarse_category(F.col("text"), rules).alias("category"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (context_neighbors, context_islands, context_budget, context_explode, evidence_rank, template_answer, answer_batch, citation_mapping, citation_verify, guardrail, recall_mrr_ndcg, metric_summary, ranking_agreement, ablation_rank_shift, latency_percentiles, latency_p95_truncated, answer_summary, decision_confusion, group_summary, dataset_validation, worst_examples, judge_ratios, acceptance_gate, metric_delta, change_set, registry_upsert, registry_soft_delete, chunk_mapping_replace, resume_antijoin, stratified_sample, template_cross, hit_rate_summary, row_status, agent_loop, compact_text)
+    for f in (full_search, full_answers, quota_selection, balanced_selection, plain_chunks, category_rules, context_neighbors, context_islands, context_budget, context_explode, evidence_rank, template_answer, answer_batch, citation_mapping, citation_verify, guardrail, recall_mrr_ndcg, metric_summary, ranking_agreement, ablation_rank_shift, latency_percentiles, latency_p95_truncated, answer_summary, decision_confusion, group_summary, dataset_validation, worst_examples, judge_ratios, acceptance_gate, metric_delta, change_set, registry_upsert, registry_soft_delete, chunk_mapping_replace, resume_antijoin, stratified_sample, template_cross, hit_rate_summary, row_status, agent_loop, compact_text)
 }
 
 _LINES = r"""
@@ -309,6 +346,9 @@ _MAP = "maps AS (SELECT 'doc_' || doc_id || '.md' AS source_file, len(string_spl
 _LIST = "array_to_string({}, ',')"
 
 ORACLE = {
+    "quota_selection": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) SELECT doc_id, lang FROM r WHERE n <= CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END",
+    "balanced_selection": "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) SELECT doc_id, source FROM r ORDER BY n, source LIMIT 30",
+    "category_rules": "SELECT doc_id, CASE WHEN contains(text, '!!') THEN 'loud' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'mail' ELSE 'other' END AS category FROM documents",
     "context_neighbors": f"WITH {_LINES} SELECT query_id, chunk_id, round(fs, 6) AS fusion_score, round(fs, 6) AS sort_score FROM expanded",
     "context_islands": f"WITH {_LINES} SELECT query_id, source_file, section_path_text, indexes, md5(content) AS digest, token_count, round(fs, 6) AS sort_score FROM merged",
     "context_budget": f"{_PACK} SELECT query_id, 'S' || n AS citation_id, source_file, chunk_ids, token_count, total_tokens FROM packed WHERE took",
