@@ -36,6 +36,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not found:
         found = getattr(spark.sparkContext, "_brindle_dir", None)
         if not found:
@@ -60,11 +62,14 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
         ship(spark)
         atexit.register(self._end)
 
     def _end(self) -> None:
         try:
+            for t in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
             _delete(self.spark, self.base)
         except Exception:  # noqa: BLE001  the application may have ended before
             return

@@ -53,13 +53,17 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "plus": "+",
 }
 _DIGIT = "|".join(sorted(map(re.escape, DIGIT_WORDS), key=len, reverse=True))
-_RUN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[ \-.,]{{1,2}}(?:{_DIGIT}|[0-9])(?!\w)){{3,}}")
+_STOP = {"dot": ".", "punkt": ".", "point": ".", "punto": "."}
+_ITEM = rf"(?:{_DIGIT}|{'|'.join(_STOP)}|[0-9])"
+_RUN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[ \-.,]{{1,2}}{_ITEM}(?!\w)){{3,}}")
+_RUN_PART = re.compile(rf"(?i)({_ITEM})(?!\w)([ \-.,]{{1,2}}(?={_ITEM}(?!\w)))?")
 _AT, _DOT = "at|arroba|ät", "dot|punkt|point|punto"
 _NAME, _PART = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
 _B_AT = rf"\s*[\(\[\{{<]\s*(?:{_AT}|@)\s*[\)\]\}}>]\s*"
 _B_DOT = rf"\s*[\(\[\{{<]\s*(?:{_DOT}|\.)\s*[\)\]\}}>]\s*"
 _ANY_AT, _ANY_DOT = rf"(?:@|{_B_AT}|\s+(?:{_AT})\s+)", rf"(?:\.|{_B_DOT}|\s+(?:{_DOT})\s+)"
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME})*?{_ANY_AT}{_PART}(?:{_ANY_DOT}{_PART})+")
+_QUAD = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 _AT_IN = re.compile(rf"(?i){_B_AT}|\s+(?:{_AT})\s+")
 _DOT_IN = re.compile(rf"(?i){_B_DOT}|\s+(?:{_DOT})\s+")
 _ODD = re.compile("[\u0131\u00ad\u0261\u0370-\U0010ffff]")
@@ -134,7 +138,9 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
             if c in INVISIBLE:
                 continue
             d = HOMOGLYPHS.get(c)
-            if d is None and ord(c) > 0x2000:
+            if d is None and not c.isascii() and c.isdecimal():
+                d = str(unicodedata.decimal(c))
+            elif d is None and ord(c) > 0x2000:
                 wide = unicodedata.normalize("NFKC", c)
                 d = wide if len(wide) == 1 and wide.isascii() else None
             rows.append((d or c, i, i + 1, d is not None))
@@ -154,9 +160,9 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
     joined = "".join(out)
     spans = []
     for m in _RUN.finditer(joined):
-        for d in re.finditer(rf"(?i)({_DIGIT})([ \-.,]{{1,2}}(?=(?:{_DIGIT}|[0-9])(?!\w)))?|([0-9])([ \-.,]{{1,2}})", joined[m.start() : m.end()]):
-            word = d[1] if d[1] else d[3]
-            spans.append((m.start() + d.start(), m.start() + d.end(), DIGIT_WORDS.get(word.lower(), word)))
+        for d in _RUN_PART.finditer(joined, m.start(), m.end()):
+            word = d[1].lower()
+            spans.append((d.start(), min(d.end(), m.end()), DIGIT_WORDS.get(word) or _STOP.get(word, word)))
     if spans:
         replace(spans)
         joined = "".join(out)
@@ -170,6 +176,11 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
                 continue
             spans += sorted([(x.start(), x.end(), "@") for x in at[:1]] + [(x.start(), x.end(), ".") for x in dots if not at or x.end() <= at[0].start() or x.start() >= at[0].end()])
             seen = m.end()
+        for m in _QUAD.finditer(joined, max(seen, lo), hi):
+            dots = [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(joined, m.start(), m.end())]
+            if dots and m.start() >= seen:
+                spans += dots
+                seen = m.end()
     if spans:
         replace(spans)
     return "".join(out), start, end, new

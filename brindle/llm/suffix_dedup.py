@@ -363,6 +363,7 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50) -> DataFrame:
     name = f"brindle_suffix_{uuid.uuid4().hex[:12]}"
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows.withColumn("block", block).repartition(blocks, "block").write.option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(name)
+    work.tables.append(name)
     work.free()
 
     def texts():
