@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quota(df: DataFrame, group: str, quotas: dict[str, int], order: list[Column]) -> DataFrame:
@@ -23,7 +24,7 @@ def balanced(df: DataFrame, group: str, order: list[Column], total: int) -> Data
     return df.withColumn("_turn", turn).orderBy("_turn", group).limit(total).drop("_turn")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def plain_chunks(texts: pd.Series) -> pd.Series:
     """The baseline's chunks: no markup, no white space, sentences packed greedily up to 250 characters."""
 
