@@ -6,7 +6,7 @@ embedding and a filter's weights are folded into tables over byte pairs and byte
 table rows: the same convolution without multiplications. Every whole text is cut into windows, the last one padded; the
 probabilities of a text's windows are averaged by their length in bytes.
 
-The fit uses a bounded sample: for each language at most FIT_ROWS texts of at most FIT_CHARS characters (smallest hash of the id),
+The fit uses a bounded sample: for each language at most FIT_ROWS texts of at most FIT_CHARS characters (by hash of the id),
 and of each text at most FIT_WINDOWS windows, evenly spread.
 
 Defined cases: null text, or one without a letter: ``und`` with score 0; with no labelled row at all every text is ``und``;
@@ -149,9 +149,12 @@ def train(win: np.ndarray, target: np.ndarray, names: list[str], epochs: int = 6
 
 def fit_language(docs: DataFrame, allowed: F.Column | None = None, rows: int = FIT_ROWS) -> LanguageModel:
     """allowed: which ids may teach (a condition on doc_id)."""
+    usable = docs.select("doc_id", "lang", F.length("text").alias("n")).filter("doc_id is not null and lang is not null").filter(F.col("n").between(1, FIT_CHARS)).filter(F.lit(True) if allowed is None else allowed).select("doc_id", "lang")
+    # A share of each language's hashes that holds about four times the rows wanted, so that ranking never gathers a whole language.
+    share = usable.groupBy("lang").agg((F.lit(4.0 * rows) / F.count("*")).alias("share"))  # one row for each language
+    few = usable.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    usable = docs.select("doc_id", "lang", F.length("text").alias("n")).filter("doc_id is not null and lang is not null").filter(F.col("n").between(1, FIT_CHARS)).filter(F.lit(True) if allowed is None else allowed)
-    chosen = usable.select("doc_id", "lang", rank.alias("k")).filter(F.col("k") <= rows).select("doc_id").distinct()  # at most FIT_ROWS for each language
+    chosen = few.select("doc_id", rank.alias("k")).filter(F.col("k") <= rows).select("doc_id").distinct()  # at most FIT_ROWS for each language
     got = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(F.length("text").between(1, FIT_CHARS)).join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not got.num_rows:
         return train(np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), [])
