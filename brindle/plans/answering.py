@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,26 +16,26 @@ from . import corpus as C
 from .retrieval import ALL, COSINE, DENSE
 
 
-def _line_candidates(s, d):
-    """Lines as candidates of the questions: those whose length is a multiple of 41, one question in eight each."""
+def _line_candidates(s, d, whole=False):
+    """Lines as candidates of the questions, one question in eight each: as in the SQL twins those whose length is a multiple of 41, or all that are not empty."""
     lines = C.lines(s, d)
-    return lines.filter("length(content) % 41 = 0 and content <> ''").select((F.col("doc_id") % 8).alias("query_id"), "chunk_id", F.round(1.0 / (F.col("chunk_index") + 2) + F.length("content") / 10000.0, 6).alias("fusion_score"))
+    return lines.filter("content <> ''" if whole else "length(content) % 41 = 0 and content <> ''").select((F.col("doc_id") % 8).alias("query_id"), "chunk_id", F.round(1.0 / (F.col("chunk_index") + 2) + F.length("content") / 10000.0, 6).alias("fusion_score"))
 
 
-def context_neighbors(s, d):
-    out = context.expand(_line_candidates(s, d), C.lines(s, d), extra=1)
+def context_neighbors(s, d, whole=False):
+    out = context.expand(_line_candidates(s, d, whole), C.lines(s, d), extra=1)
     return out.select("query_id", "chunk_id", F.round("fusion_score", 6).alias("fusion_score"), F.round("sort_score", 6).alias("sort_score"))
 
 
-def context_islands(s, d):
+def context_islands(s, d, whole=False):
     lines = C.lines(s, d)
-    out = context.merge_adjacent(context.expand(_line_candidates(s, d), lines, extra=1), lines)
+    out = context.merge_adjacent(context.expand(_line_candidates(s, d, whole), lines, extra=1), lines)
     return out.select("query_id", "source_file", "section_path_text", F.array_join(F.transform("chunk_indexes", lambda x: x.cast("string")), ",").alias("indexes"), F.md5("content").alias("digest"), "token_count", F.round("sort_score", 6).alias("sort_score"))
 
 
-def context_budget(s, d):
+def context_budget(s, d, whole=False):
     lines = C.lines(s, d)
-    out = context.pack(_line_candidates(s, d), lines, budget=1200)
+    out = context.pack(_line_candidates(s, d, whole), lines, budget=1200)
     return out.select("query_id", "citation_id", "source_file", F.array_join("chunk_ids", ",").alias("chunk_ids"), "token_count", "total_tokens")
 
 
@@ -232,9 +234,9 @@ def row_status(s, d):
     return t.groupBy(evaluation.row_status(F.col("error"), F.col("is_fallback")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def context_explode(s, d):
+def context_explode(s, d, whole=False):
     """Packed chunks back to ranked rows: every chunk keeps the rank of its evidence."""
-    out = context.pack(_line_candidates(s, d), C.lines(s, d), budget=1200)
+    out = context.pack(_line_candidates(s, d, whole), C.lines(s, d), budget=1200)
     return out.select("query_id", F.col("pack_order").alias("rank"), F.explode("chunk_ids").alias("chunk_id"))
 
 
@@ -290,6 +292,8 @@ QUERIES = {
     f.__name__: f
     for f in (full_search, full_answers, quota_selection, balanced_selection, plain_chunks, category_rules, context_neighbors, context_islands, context_budget, context_explode, evidence_rank, template_answer, answer_batch, citation_mapping, citation_verify, guardrail, recall_mrr_ndcg, metric_summary, ranking_agreement, ablation_rank_shift, latency_percentiles, latency_p95_truncated, answer_summary, decision_confusion, group_summary, dataset_validation, worst_examples, judge_ratios, acceptance_gate, metric_delta, change_set, registry_upsert, registry_soft_delete, chunk_mapping_replace, resume_antijoin, stratified_sample, template_cross, hit_rate_summary, row_status, agent_loop, compact_text)
 }
+#: The same over every line: the SQL twins take the lines of some lengths alone, so these have none.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (context_neighbors, context_islands, context_budget, context_explode)}
 
 _LINES = r"""
 lines AS (SELECT 'doc_' || doc_id || '.md::' || i AS chunk_id, 'doc_' || doc_id || '.md' AS source_file, CAST(i AS INTEGER) AS chunk_index, 's' || (i // 5) AS section_path_text, content, len(regexp_extract_all(content, '[A-Za-z0-9]+|[^\s]')) AS token_count, doc_id

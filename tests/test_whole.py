@@ -1,0 +1,29 @@
+"""Whole-table forms of queries whose SQL twins cut their input: against the twin without its cut, and on a small fixture."""
+
+import pytest
+
+from brindle.plans import registry
+
+from test_queries import SF, duck, plain  # noqa: F401
+
+
+def check(spark, duck, name, cut, by):  # noqa: F811
+    assert cut in registry.ORACLE[name] and f"{name}_whole" not in registry.ORACLE
+    df = registry.QUERIES[f"{name}_whole"](spark, SF)
+    res = duck.execute(registry.ORACLE[name].replace(cut, by))
+    names = [c[0] for c in res.description]
+    assert sorted(names) == sorted(df.columns)
+    got, want = sorted(repr([plain(r[c]) for c in names]) for r in df.collect()), sorted(repr([plain(v) for v in r]) for r in res.fetchall())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["context_neighbors", "context_islands", "context_budget", "context_explode"])
+def test_every_line_is_a_candidate(spark, duck, name):  # noqa: F811
+    check(spark, duck, name, "length(content) % 41 = 0 AND ", "")
+
+
+def test_lines_of_any_length(spark, tmp_path):
+    spark.createDataFrame([(3, "one\n\nthree", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["context_neighbors"](spark, str(tmp_path)).count() == 0
+    got = {(r["query_id"], r["chunk_id"]) for r in registry.QUERIES["context_neighbors_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(3, "doc_3.md::0"), (3, "doc_3.md::1"), (3, "doc_3.md::2")}
