@@ -9,7 +9,8 @@ rewrites the text where it may be disguised, keeping for every character of its
   address can stand: a bare word counts only inside ``name at host dot domain``.
 
 The same detectors run on the output; a find is mapped back to the span of source characters, and kept if the transducer
-changed something inside it and it overlaps no plain find of its kind. Plain finds always stay.
+changed something inside it and it does not lie inside a plain find of its kind. Plain finds always stay, so a find with a
+disguised part stands beside the plain find of its other part; redact joins the two.
 
 Only texts that hold a trigger (a character outside Latin-1, a digit word, a word for *at* or *dot*) are rewritten.
 
@@ -197,7 +198,7 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
             for a, b in spans:
                 s, e = start[a], end[b - 1]
                 if any(new[a:b]) or e - s != b - a:
-                    if not any(x < e and s < y for x, y in base[kind]):
+                    if not any(x <= s and e <= y for x, y in base[kind]):
                         extra[kind].append((s, e))
     return base, extra
 
