@@ -4,15 +4,18 @@ Plain detection takes the leftmost non-overlapping matches of four patterns, a f
 rewrites the text where it may be disguised, keeping for every character of its output the source span it came from:
 
 * homoglyphs and full-width forms become the ASCII character they look like; zero-width characters vanish;
-* spelled digits in a row of at least four (English, German, French, Spanish) become digits;
+* spelled digits (English, German, French, Spanish) become digits, in a row of at least four anywhere and in shorter rows beside
+  a digit, a spelled dot or a plus sign;
 * ``(at)``, ``[at]``, ``{at}``, `` at `` and the same for *dot* (and *punkt*, *point*, *punto*, *arroba*) become ``@`` and ``.`` where an
-  address can stand: a bare word counts only inside ``name at host dot domain``.
+  address can stand: a bare word counts only inside ``name at host dot domain``, where the dot may be a plain one; a bare *at*
+  with plain dots alone needs a last part of two letters or more, so that ``rose at 3.5`` stays.
 
 The same detectors run on the output; a find is mapped back to the span of source characters, and kept if the transducer
 changed something inside it and it does not lie inside a plain find of its kind. Plain finds always stay, so a find with a
 disguised part stands beside the plain find of its other part; redact joins the two.
 
-Only texts that hold a trigger (a character outside Latin-1, a digit word, a word for *at* or *dot*) are rewritten.
+Only texts that hold a trigger (a character outside Latin-1, a row of digit words or one beside digits, a word for *at* before
+a host, a word for *dot*) are rewritten.
 
 Defined cases: null text counts as empty and has no spans; offsets are code points, end exclusive; repeated rows each give a
 row; an empty table gives an empty result; extra columns are ignored.
@@ -22,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import unicodedata
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +63,14 @@ _STOP = {"dot": ".", "punkt": ".", "point": ".", "punto": "."}
 _ITEM = rf"(?:{_DIGIT}|{'|'.join(_STOP)}|[0-9])"
 _RUN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[ \-.,]{{1,2}}{_ITEM}(?!\w)){{3,}}")
 _RUN_PART = re.compile(rf"(?i)({_ITEM})(?!\w)([ \-.,]{{1,2}}(?={_ITEM}(?!\w)))?")
+#: Shorter rows, which count only beside digits: their separators stay except between two of their own items.
+_SHORT = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?!\w)(?:[ \-,]{{1,2}}(?:{_DIGIT}|[0-9])(?!\w))*")
+_SHORT_PART = re.compile(rf"(?i)({_DIGIT}|[0-9])(?!\w)([ \-,]{{1,2}}(?=(?:{_DIGIT}|[0-9])(?!\w)))?")
+_SPELLED_DOT = rf"(?:[ ]{{1,2}}(?:{'|'.join(_STOP)})[ ]{{1,2}}|[ ]?[\(\[\{{<][ ]?(?:{'|'.join(_STOP)}|\.)[ ]?[\)\]\}}>][ ]?)"
+_BESIDE = rf"(?:[ ().,-]{{1,3}}|{_SPELLED_DOT})"
+_BEFORE, _AFTER = re.compile(rf"(?i)(?:[0-9]{_BESIDE}|\+[ (]{{0,2}})$"), re.compile(rf"(?i){_BESIDE}\+?[0-9]")
+_PLUS_GAP = re.compile("[ (,-]{1,2}(?=[0-9])")
+_GAP = re.compile(rf"(?i){_BESIDE}")
 _AT, _DOT = "at|arroba|ät", "dot|punkt|point|punto"
 _NAME, _PART = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
 _B_AT = rf"\s*[\(\[\{{<]\s*(?:{_AT}|@)\s*[\)\]\}}>]\s*"
@@ -69,8 +82,12 @@ _AT_IN = re.compile(rf"(?i){_B_AT}|\s+(?:{_AT})\s+")
 _DOT_IN = re.compile(rf"(?i){_B_DOT}|\s+(?:{_DOT})\s+")
 _ODD = re.compile("[\u0131\u00ad\u0261\u0370-\U0010ffff]")
 _DOT_WORD = re.compile(rf"(?i)(?<!\w)(?:{_DOT})(?!\w)|[\(\[\{{<]\s*(?:@|\.|(?:{_AT})\s*[\)\]\}}>])")
+#: A word for *at* where an address can stand without a word for *dot*.
+_AT_WORD = re.compile(r"(?i)(?<!\w)(?:arroba|ät)(?!\w)|(?<=[A-Za-z0-9_%+-]\s)\s*at\s+(?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2})")
 #: Words that also stand in ordinary text; a run of digit words needs others too.
 _TELLING = frozenset(DIGIT_WORDS) - {"un", "oh", "null", "plus"}
+_ANY_DIGIT = frozenset(DIGIT_WORDS)
+_SPACED = str.maketrans(string.punctuation, " " * len(string.punctuation))
 _AT_DOT = ("dot", "punkt", "point", "punto", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "{@", "<@", "(.", "[.", "{.", "<.", "arroba", "ät")
 #: Around a word for *dot* an address can reach so far.
 _REACH = 320
@@ -124,13 +141,31 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": emails(text) if "@" in text else [], "ip": ips(text) if digits else [], "card": cards(text) if digits else [], "phone": phones(text) if digits else []}
 
 
+def _short_runs(text: str) -> list[re.Match]:
+    """Rows of digit words beside a digit, a spelled dot next to one, a plus sign, or another such row."""
+    runs = list(_SHORT.finditer(text))
+    near, telling = [], []
+    for m in runs:
+        before, after = _BEFORE.search(text, max(0, m.start() - 20), m.start()) is not None, _AFTER.match(text, m.end()) is not None
+        words = re.findall(r"[^\W\d]+", m[0].lower())
+        telling.append(not _TELLING.isdisjoint(words))
+        near.append(before or after if telling[-1] else after and (before or words[0] == "plus"))  # "un" after a number is mostly an article
+    joins = [telling[i] and telling[i + 1] and y.start() - x.end() <= 20 and _GAP.fullmatch(text, x.end(), y.start()) is not None for i, (x, y) in enumerate(pairwise(runs))]
+    for i in range(1, len(runs)):
+        near[i] = near[i] or near[i - 1] and joins[i - 1]
+    for i in range(len(runs) - 2, -1, -1):
+        near[i] = near[i] or near[i + 1] and joins[i]
+    return [m for m, ok in zip(runs, near, strict=True) if ok]
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
     """The rewritten text; for each of its characters the source start and end, and whether it was changed. None: nothing to rewrite."""
     odd = not text.isascii() and _ODD.search(text) is not None
     if not odd:  # cheap signs first: enough digit words, a word for at or dot
         low = text.lower()
-        words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
-        if (_TELLING.isdisjoint(words) or _RUN.search(text) is None) and (not any(x in low for x in _AT_DOT) or _DOT_WORD.search(text) is None):
+        words = low.translate(_SPACED).split()
+        spelled = not _ANY_DIGIT.isdisjoint(words) and (not _TELLING.isdisjoint(words) and _RUN.search(text) is not None or _DIGITS.search(text) is not None and bool(_short_runs(text)))
+        if not spelled and (not any(x in low for x in _AT_DOT) or _DOT_WORD.search(text) is None) and _AT_WORD.search(text) is None:
             return None
     out, start, end, new = list(text), list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
     if odd:
@@ -167,13 +202,24 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
     if spans:
         replace(spans)
         joined = "".join(out)
+    spans = []
+    for m in _short_runs(joined):
+        for d in _SHORT_PART.finditer(joined, m.start(), m.end()):
+            word, e = d[1].lower(), min(d.end(), m.end())
+            if word == "plus" and (gap := _PLUS_GAP.match(joined, e)):
+                e = gap.end()
+            spans.append((d.start(), e, DIGIT_WORDS.get(word, word)))
+    if spans:
+        replace(spans)
+        joined = "".join(out)
     spans, seen = [], 0
-    for t in _DOT_WORD.finditer(joined):
-        lo, hi = max(seen, t.start() - _REACH), min(len(joined), t.end() + _REACH)
+    triggers = sorted([(m.start(), m.end(), False) for m in _DOT_WORD.finditer(joined)] + [(m.start(), m.end(), True) for m in _AT_WORD.finditer(joined)])
+    for a, b, alone in triggers:
+        lo, hi = max(seen, a - _REACH), min(len(joined), b + _REACH)
         for m in _ADDRESS.finditer(joined, lo, hi):
             at = list(_AT_IN.finditer(joined, m.start(), m.end()))
             dots = list(_DOT_IN.finditer(joined, m.start(), m.end()))
-            if not at and "@" not in m[0] or m.start() < seen:
+            if not at and "@" not in m[0] or m.start() < seen or alone and not m.start() <= a < m.end():
                 continue
             spans += sorted([(x.start(), x.end(), "@") for x in at[:1]] + [(x.start(), x.end(), ".") for x in dots if not at or x.end() <= at[0].start() or x.start() >= at[0].end()])
             seen = m.end()
