@@ -142,8 +142,9 @@ def group_summary(s, d):
     return t.groupBy(F.coalesce("source", F.lit("unknown")).alias("grp"), F.coalesce("error", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg("faithfulness"), 4).alias("faithfulness"))
 
 
-def dataset_validation(s, d):
-    t = C.table(s, d, "documents").select((F.floor(F.col("doc_id") / 2) + F.col("doc_id") % 3).alias("query_id"), F.substring("text", 1, 30).alias("query"), F.array(F.col("doc_id"), F.col("doc_id") + 7).alias("relevant"))
+def dataset_validation(s, d, whole=False):
+    """Queries are the first 30 characters of the texts, as in the SQL twin, or the whole texts."""
+    t = C.table(s, d, "documents").select((F.floor(F.col("doc_id") / 2) + F.col("doc_id") % 3).alias("query_id"), (F.col("text") if whole else F.substring("text", 1, 30)).alias("query"), F.array(F.col("doc_id"), F.col("doc_id") + 7).alias("relevant"))
     return evaluation.dataset_problems(t, C.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id")))
 
 
@@ -292,8 +293,8 @@ QUERIES = {
     f.__name__: f
     for f in (full_search, full_answers, quota_selection, balanced_selection, plain_chunks, category_rules, context_neighbors, context_islands, context_budget, context_explode, evidence_rank, template_answer, answer_batch, citation_mapping, citation_verify, guardrail, recall_mrr_ndcg, metric_summary, ranking_agreement, ablation_rank_shift, latency_percentiles, latency_p95_truncated, answer_summary, decision_confusion, group_summary, dataset_validation, worst_examples, judge_ratios, acceptance_gate, metric_delta, change_set, registry_upsert, registry_soft_delete, chunk_mapping_replace, resume_antijoin, stratified_sample, template_cross, hit_rate_summary, row_status, agent_loop, compact_text)
 }
-#: The same over every line: the SQL twins take the lines of some lengths alone, so these have none.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (context_neighbors, context_islands, context_budget, context_explode)}
+#: The same over every line and whole texts: the SQL twins take the lines of some lengths and the starts of texts alone, so these have none.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (context_neighbors, context_islands, context_budget, context_explode, dataset_validation)}
 
 _LINES = r"""
 lines AS (SELECT 'doc_' || doc_id || '.md::' || i AS chunk_id, 'doc_' || doc_id || '.md' AS source_file, CAST(i AS INTEGER) AS chunk_index, 's' || (i // 5) AS section_path_text, content, len(regexp_extract_all(content, '[A-Za-z0-9]+|[^\s]')) AS token_count, doc_id

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,8 +41,9 @@ def hyde_rule(s, d):
     return queries.hyde(queries.analyze(_mixed(s, d))).select("query_id", "content", "used", "reason")
 
 
-def source_file_filter(s, d):
-    q = C.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("see DOC_"), F.col("item_id").cast("string"), F.lit(".md and doc-"), (F.col("item_id") * 3).cast("string"), F.lit(": "), F.substring("text", 1, 40)).alias("query"))
+def source_file_filter(s, d, whole=False):
+    """Queries end with the first 40 characters of the benchmark texts, as in the SQL twin, or with the whole texts."""
+    q = C.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("see DOC_"), F.col("item_id").cast("string"), F.lit(".md and doc-"), (F.col("item_id") * 3).cast("string"), F.lit(": "), F.col("text") if whole else F.substring("text", 1, 40)).alias("query"))
     return queries.detect_file(q, C.files(s, d))
 
 
@@ -117,6 +120,8 @@ def point_ids(s, d):
 
 
 QUERIES = {f.__name__: f for f in (query_analyze, query_branches, hyde_rule, source_file_filter, filter_hints, domain_gate, sentence_split, token_counts, token_windows, line_classify, block_islands, normalize_markdown, page_blocks, page_chunks, chunk_documents, chunk_quality_report, duplicate_contents, point_ids)}
+#: The SQL twin takes the starts of texts alone, so this has none.
+QUERIES["source_file_filter_whole"] = partial(source_file_filter, whole=True)
 
 
 def _any(words: list[str], c: str = "q") -> str:

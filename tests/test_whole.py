@@ -27,3 +27,18 @@ def test_lines_of_any_length(spark, tmp_path):
     assert registry.QUERIES["context_neighbors"](spark, str(tmp_path)).count() == 0
     got = {(r["query_id"], r["chunk_id"]) for r in registry.QUERIES["context_neighbors_whole"](spark, str(tmp_path)).collect()}
     assert got == {(3, "doc_3.md::0"), (3, "doc_3.md::1"), (3, "doc_3.md::2")}
+
+
+@pytest.mark.parametrize(("name", "cut"), [("dataset_validation", "substring(text, 1, 30)"), ("source_file_filter", "substring(text, 1, 40)")])
+def test_whole_texts(spark, duck, name, cut):  # noqa: F811
+    check(spark, duck, name, cut, "text")
+
+
+def test_what_stands_later_counts(spark, tmp_path):
+    start = "A common opening of more than forty characters, then "
+    spark.createDataFrame([(i, start + t, "en", "s", 60) for i, t in ((1000, "this"), (2000, "that"), (3000, "this"))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, start + "see doc_2000.md")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    values = lambda name: [r["value"] for r in registry.QUERIES[name](spark, str(tmp_path)).filter("problem = 'duplicate_query'").collect()]
+    assert values("dataset_validation") == [start[:30]] and values("dataset_validation_whole") == [start + "this"]
+    files = lambda name: [r["source_file"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert files("source_file_filter") == [] and files("source_file_filter_whole") == ["doc_2000.md"]
