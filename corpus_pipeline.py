@@ -25,6 +25,17 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
 
 
+def _one_of_each(docs: DataFrame, chosen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that ``chosen`` names by doc_id. Where ids repeat or are missing it sees numbers of rows in their place, in order of
+    doc_id (missing ones last) and then of the other columns."""
+    if len(set(docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first())) == 1:
+        return _keep(docs, chosen(docs))
+    order = [F.asc_nulls_last("doc_id"), *[F.asc(c) for c in docs.columns if c != "doc_id"]]
+    own = docs.sort(*order).withColumns({"_own_id": F.col("doc_id"), "doc_id": F.monotonically_increasing_id()})
+    own = Work(docs.sparkSession, "rows").keep(own, "rows")  # written, so the numbers hold
+    return _keep(own, chosen(own)).select(*[F.col("_own_id").alias(c) if c == "doc_id" else c for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = fit_quality(docs, read(spark, sf_dir, "labels"), allowed=crc32_mod("doc_id", 4) != 2)
@@ -32,13 +43,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the smallest doc_id stays."""
-    return _keep(docs, exact_dedup(docs).filter("kept"))
+    """Of equal texts (white space aside) one row stays, that of the smallest doc_id; a row without an id stays only where none has one."""
+    return _one_of_each(docs, lambda t: exact_dedup(t).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
-    return _keep(docs, near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked fingerprints one row stays, that of the smallest doc_id; a row without an id stays only where none has one."""
+    return _one_of_each(docs, lambda t: near_groups(t).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
