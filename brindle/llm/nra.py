@@ -5,8 +5,8 @@ list is read from its high end where the query's component is positive and from
 sequence and all lists to the same depth. What has been read gives each candidate a lower bound (unread components count
 as the worst value of their list) and an upper bound (as the value at the reading front); a candidate whose upper bound is
 below the k-th best lower bound cannot qualify and leaves. Reading stops when k are left, or when only ties and contenders
-remain whose exact scores the remaining entries resolve. All queries of a block advance together: bounds at a depth are matrix
-products over the read and unread parts of the block.
+remain whose exact scores the remaining entries resolve: each query by itself, over its own survivors alone. The open queries of a block
+advance together: bounds at a depth are matrix products over the read and unread parts of the candidates that any of them still has.
 
 Queries are dealt into blocks too, and every pair of a query block and a candidate block is one unit of work; nothing that grows
 with the data is broadcast. Each unit returns at most k rows for each query, so the final ranking sorts k rows a block.
@@ -51,43 +51,54 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def nra_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k of a block for each query: index of the query, index of the candidate, score. Ties to the smaller id."""
+def nra_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, trace: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top k of a block for each query: index of the query, index of the candidate, score. Ties to the smaller id.
+
+    trace receives (depth, queries still open, their candidates) before each depth, and at last (1.0, queries, candidates) for what is resolved.
+    """
     n, width = x.shape
     order = np.argsort(-x, axis=0, kind="stable")  # the sorted lists
     lists = np.take_along_axis(x, order, axis=0)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)  # where in each list a candidate stands
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    worst = up @ lists[-1] + down @ lists[0]
     alive = ids[None, :] != q_ids[:, None]
     need = np.minimum(k, alive.sum(axis=1))
     for depth in DEPTHS:
         t = min(n, max(1, math.ceil(n * depth)))
-        high, low = place < t, place >= n - t  # read from the high end, from the low end
-        if t == n:
-            lower = upper = q @ x.T
-        else:
-            seen = up @ np.where(high, x, 0).T + down @ np.where(low, x, 0).T
-            unread_worst = up @ np.where(high, 0, lists[-1]).T + down @ np.where(low, 0, lists[0]).T
-            unread_front = up @ np.where(high, 0, lists[t - 1]).T + down @ np.where(low, 0, lists[n - t]).T
-            lower, upper = seen + unread_worst, seen + unread_front
-        floor = np.where(alive, lower, -np.inf)
-        for j in np.unique(need):
-            if j:
-                rows = np.flatnonzero(need == j)
-                bar = np.partition(floor[rows], n - j, axis=1)[:, n - j]
-                alive[rows] &= upper[rows] >= bar[:, None]
-        if t == n or (alive.sum(axis=1) == need).all():
+        rows = np.flatnonzero(alive.sum(axis=1) > need)  # a query with no more than it needs reads no further
+        if t == n or not len(rows):
             break
-    a, b = np.nonzero(alive & (need > 0)[:, None])
-    score = np.einsum("ij,ij->i", q[a], x[b])  # what is left of the lists resolves the scores of those that qualify
-    del worst
-    rank = np.lexsort((ids[b], -score, a))
-    a, b, score = a[rank], b[rank], score[rank]
-    first = np.searchsorted(a, a, side="left")
-    top = np.arange(len(a)) - first < k
-    return a[top], b[top], score[top]
+        cols = np.flatnonzero(alive[rows].any(axis=0))
+        if trace is not None:
+            trace.append((depth, len(rows), int(alive[rows].sum())))
+        own, p, u, d = x[cols], place[cols], up[rows], down[rows]
+        high, low = p < t, p >= n - t  # read from the high end, from the low end
+        seen = u @ np.where(high, own, 0).T + d @ np.where(low, own, 0).T
+        unread_worst = u @ np.where(high, 0, lists[-1]).T + d @ np.where(low, 0, lists[0]).T
+        unread_front = u @ np.where(high, 0, lists[t - 1]).T + d @ np.where(low, 0, lists[n - t]).T
+        lower, upper = seen + unread_worst, seen + unread_front
+        open_ = alive[np.ix_(rows, cols)]
+        floor = np.where(open_, lower, -np.inf)
+        for j in np.unique(need[rows]):
+            if j:
+                of = need[rows] == j
+                bar = np.partition(floor[of], len(cols) - j, axis=1)[:, len(cols) - j]
+                open_[of] &= upper[of] >= bar[:, None]
+        alive[np.ix_(rows, cols)] = open_
+    alive &= (need > 0)[:, None]
+    if trace is not None:
+        trace.append((1.0, int(alive.any(axis=1).sum()), int(alive.sum())))
+    out_a, out_b, out_s = [], [], []
+    for i in range(len(q)):  # what is left of the lists resolves the scores of those that qualify
+        c = np.flatnonzero(alive[i])
+        score = x[c] @ q[i]
+        best = np.lexsort((ids[c], -score))[:k]
+        out_a.append(np.full(len(best), i))
+        out_b.append(c[best])
+        out_s.append(score[best])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(out_a, np.int64), join(out_b, np.int64), join(out_s, float)
 
 
 OUT = "query_id long, vec_id long, score long"
