@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "l2")
-#: Queries of one block: with their vectors they are what a task holds beside its batch of rows.
+#: Most queries that are sent to the workers at once; more go in rounds.
 QUERY_BLOCK = 1024
 
 
@@ -23,42 +23,82 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return s
 
 
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _rows(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row, and all that tie with the last of them by rounded score."""
+    if score.shape[1] <= k:
+        return np.ones(score.shape, bool)
+    bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    return score >= bar[:, None]
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", keep: Column | None = None) -> DataFrame:
     """queries: query_id, vector. vectors: chunk_id, vector (and what keep needs). query_id, chunk_id, score, rank.
 
-    Queries are numbered into blocks of bounded size; every partition of vectors meets every block once, as one matrix product for
-    a batch, and passes on k rows a query and batch. Nothing is broadcast; a filter works before the ranking.
+    Queries go to the workers in blocks of at most QUERY_BLOCK rows, so what travels has a fixed bound; the vectors stay where they are
+    read. A task meets its rows batch by batch as matrix products and keeps k rows a query, ties included, so what is shuffled is
+    k rows for each query and task whatever the size of the table. Vectors of another width than the queries', or missing ones, raise.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     vectors = vectors.filter(keep) if keep is not None else vectors
-    if k <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
     qtype, ctype = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("chunk_id"), F.lit(width)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("part"))
-
-    def run(left, right):
-        names = {"query_id": right.schema.field("query_id").type, "chunk_id": left.schema.field("chunk_id").type, "score": pa.float64()}
-        if not left.num_rows or not right.num_rows:
-            return pa.schema(list(names.items())).empty_table()
-        left = left.sort_by("chunk_id")
-        s = _scores(_rows(right["vector"]), _rows(left["vector"]), metric)
-        order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(right.num_rows), order.shape[1])
-        return pa.table({"query_id": right["query_id"].take(pa.array(rows)), "chunk_id": left["chunk_id"].take(pa.array(order.ravel())), "score": s[rows, order.ravel()]})
-
-    got = x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(run, f"query_id {qtype}, chunk_id {ctype}, score double")
+    none = vectors.sparkSession.createDataFrame([], f"query_id {qtype}, chunk_id {ctype}, score double, rank int")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    n, low, high = asked.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if k <= 0 or not n:
+        return none
+    if low != high or low < 1:
+        raise ValueError("query vectors must have one width")
+    x = vectors.select("chunk_id", F.when(F.size("vector") == low, F.col("vector").cast("array<double>")).otherwise(F.raise_error(F.lit(f"vectors must have width {low}"))).alias("vector"))
+    blocks, found = -(-n // QUERY_BLOCK), None
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        got = _block_topk(part.toArrow(), x, k, metric, low, f"query_id {qtype}, chunk_id {ctype}, score double")
+        found = got if found is None else found.unionByName(got)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     score = -F.col("score") if metric == "l2" else F.col("score")
-    return got.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round(score, 6).alias("score"), "rank")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round(score, 6).alias("score"), "rank")
+
+
+def _block_topk(asked: pa.Table, x: DataFrame, k: int, metric: str, width: int, schema: str) -> DataFrame:
+    ids, q = asked["query_id"].combine_chunks(), _rows(asked["vector"], width)
+
+    def run(batches):
+        held = []  # (query, chunk_id, score) of the best so far, a row for each
+        rows, names, scores = np.zeros(0, np.int64), None, np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            s = _scores(q, _rows(batch.column("vector"), width), metric)
+            a, b = np.nonzero(_best(np.round(s, 9), k))
+            held.append((a, batch.column("chunk_id").take(pa.array(b)), s[a, b]))
+            rows = np.concatenate([rows, a])
+            names = held[-1][1] if names is None else pa.concat_arrays([names, held[-1][1]])
+            scores = np.concatenate([scores, held[-1][2]])
+            held.clear()
+            if len(rows) > 4 * k * len(q):  # cut back to the k best of each query and their ties
+                stay = _cut(rows, scores, k)
+                rows, names, scores = rows[stay], names.take(pa.array(stay)), scores[stay]
+        if len(rows):
+            stay = _cut(rows, scores, k)
+            yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(rows[stay])), "chunk_id": names.take(pa.array(stay)), "score": scores[stay]})
+
+    return x.mapInArrow(run, schema)
+
+
+def _cut(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    rounded = np.round(scores, 9)
+    order = np.lexsort((-rounded, rows))
+    r, s = rows[order], rounded[order]
+    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    size = np.diff(np.append(start, len(r)))
+    bar = s[start + np.minimum(k, size) - 1]
+    return order[s >= np.repeat(bar, size)]
 
 
 def width_violations(vectors: DataFrame, width: int) -> DataFrame:

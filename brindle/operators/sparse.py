@@ -1,14 +1,20 @@
-"""BM25 over an inverted index: postings, statistics, top-k for a batch of queries."""
+"""BM25 over an inverted index: postings, terms, statistics, top-k for a batch of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions.text import bm25_tokens
 
+from .store import at_most, fresh_dir, spread
+
 K1, B = 1.5, 0.75
+#: Most (query, term) rows that are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def bm25_text(chunks: DataFrame) -> Column:
@@ -17,14 +23,45 @@ def bm25_text(chunks: DataFrame) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, doc_len: one row for each term of a chunk. Counted per chunk before the shuffle; no text travels."""
-    terms = chunks.select("chunk_id", bm25_tokens(bm25_text(chunks)).alias("terms"))
+    """chunk_id, term, tf, doc_len: one row for each term of a chunk. Counted per chunk before the shuffle; no text travels on a large table."""
+    terms = spread(chunks.select("chunk_id", bm25_text(chunks).alias("_text"))).select("chunk_id", bm25_tokens("_text").alias("terms"))
     return terms.select("chunk_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "doc_len")
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: doc_count, avg_doc_len."""
-    return chunks.select(F.size(bm25_tokens(bm25_text(chunks))).alias("n")).agg(F.count("*").alias("doc_count"), F.avg("n").alias("avg_doc_len"))
+def term_table(post: DataFrame) -> DataFrame:
+    """term, df, cf: in how many chunks a term stands and how often. Counts are partial before the shuffle, so a stop word is one row a task."""
+    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def corpus_stats(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """One row: doc_count, avg_doc_len. With a term table no text is read: the lengths sum to its counts."""
+    if terms is None:
+        return spread(chunks.select(bm25_text(chunks).alias("_text"))).select(F.size(bm25_tokens("_text")).alias("n")).agg(F.count("*").alias("doc_count"), F.avg("n").alias("avg_doc_len"))
+    count, total = chunks.agg(F.count("*").alias("doc_count")), terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
+    return count.join(F.broadcast(total)).select("doc_count", (F.col("total") / F.greatest("doc_count", F.lit(1))).alias("avg_doc_len"))  # both: one row
+
+
+@dataclass(frozen=True)
+class Index:
+    """Saved postings, terms and statistics. Postings lie sorted by term within each file."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def build(chunks: DataFrame, path: str | None = None) -> Index:
+        """One pass over the texts; terms and statistics come from the written postings."""
+        spark = chunks.sparkSession
+        path = path or fresh_dir(spark, "bm25")
+        postings(chunks).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        term_table(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        corpus_stats(chunks, spark.read.parquet(f"{path}/terms")).write.mode("overwrite").parquet(f"{path}/stats")
+        return Index.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -32,24 +69,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(bm25_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, keep: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, chunk_id, score, rank. keep: a filter over chunks, applied to what is scored but not to the statistics.
+def bm25_topk(queries: DataFrame, chunks: DataFrame | Index, k: int = 10, keep: Column | None = None, k1: float = K1, b: float = B, within: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank. chunks: chunks, or an index built before.
 
-    The index is joined on terms with the query side, so only matching postings are touched. Document frequencies come from
-    the same postings; rows shrink to ids and numbers before every shuffle; ties go to the smaller chunk_id.
+    keep: a filter over chunks, applied to what is scored but not to the statistics; with an index, within holds the chunk_ids instead.
+    Query terms are joined with the term table first; where they are few (counted) they are broadcast with their weights, so a stop word's
+    postings never meet in one task and nothing but (query, chunk, partial sum) is shuffled. Ties go to the smaller chunk_id.
     """
-    post = postings(chunks)
+    index = chunks if isinstance(chunks, Index) else None
+    post, terms, stats = (index.postings, index.terms, index.stats) if index else (postings(chunks), None, corpus_stats(chunks))
     wanted = query_terms(queries)
-    stats = corpus_stats(chunks)
-    hit = post.join(wanted.select("term").distinct(), "term", "left_semi")  # only terms that some query has
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    if keep is not None:
-        hit = hit.join(chunks.filter(keep).select("chunk_id"), "chunk_id", "left_semi")
+    few = at_most(wanted, BROADCAST_ROWS)
+    hint = F.broadcast if few else (lambda t: t)
+    if terms is None:
+        post = post.join(hint(wanted.select("term").distinct()), "term", "left_semi")  # only terms that some query has
+        terms = term_table(post)
     idf = F.log(1 + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.join(hint(wanted), "term").join(F.broadcast(stats)).select("query_id", "term", (idf * F.col("qtf")).alias("w"), "avg_doc_len")  # stats: one row
+    if keep is not None:
+        if index:
+            raise ValueError("an index has no chunk columns: give within")
+        within = chunks.filter(keep).select("chunk_id")
+    if within is not None:
+        post = post.join(within.select("chunk_id"), "chunk_id", "left_semi")
     length = F.when(F.col("doc_len") == 0, 1).otherwise(F.col("doc_len")) / F.greatest(F.col("avg_doc_len"), F.lit(1e-9))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    weighed = hit.join(df, "term").join(F.broadcast(stats)).select("chunk_id", "term", part.alias("part"))  # stats: one row
-    scored = weighed.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("part") * F.col("qtf")).alias("raw"))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
+    scored = post.join(hint(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id"))
     return scored.filter("raw > 0").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
 

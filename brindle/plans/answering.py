@@ -40,7 +40,7 @@ def context_budget(s, d, whole=False):
 
 
 def _hits(s, d, k=8):
-    hits = sparse.bm25_topk(C.questions(s, d), C.chunks(s, d), k)
+    hits = sparse.bm25_topk(C.questions(s, d), C.index(s, d), k)
     late = hits.join(C.chunks(s, d).select("chunk_id", "source_file", "section_path_text", "content"), "chunk_id")
     return late.withColumns({"fusion_score": F.round(1.0 / (60 + F.col("rank")), 6), "dense_score": F.when(F.col("rank") % 3 != 0, F.round(F.col("score") / 100, 6)), "rerank_score": F.when(F.col("rank") % 4 == 0, F.round(F.col("score") / 50, 6))})
 

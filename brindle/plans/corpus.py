@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.sparse import Index
+
+_built: dict[tuple[str, str, str], Index] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,3 +44,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 100."""
     return vectors(spark, d).filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector", "label")
+
+
+def index(spark: SparkSession, d: str, what: str = "chunks") -> Index:
+    """The saved term index of the chunks or the lines: built by the first query of an application that searches, then read."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _built:
+        _built[key] = Index.build(chunks(spark, d) if what == "chunks" else lines(spark, d))
+    return _built[key]

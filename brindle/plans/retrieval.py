@@ -40,23 +40,22 @@ def bm25_postings(s, d):
 
 def bm25_stats(s, d):
     c = C.chunks(s, d)
-    terms = sparse.postings(c).agg(F.countDistinct("term").alias("terms"))
-    return sparse.corpus_stats(c).join(F.broadcast(terms)).select("doc_count", F.round("avg_doc_len", 6).alias("avg_doc_len"), "terms")
+    terms = sparse.term_table(sparse.postings(c))
+    return sparse.corpus_stats(c, terms).join(F.broadcast(terms.agg(F.count("*").alias("terms")))).select("doc_count", F.round("avg_doc_len", 6).alias("avg_doc_len"), "terms")
 
 
 def bm25_topk(s, d):
-    return sparse.bm25_topk(C.questions(s, d), C.chunks(s, d), 10)
+    return sparse.bm25_topk(C.questions(s, d), C.index(s, d), 10)
 
 
 def bm25_topk_filtered(s, d):
-    return sparse.bm25_topk(C.questions(s, d), C.chunks(s, d), 10, keep=F.col("section_path_text") == "src1")
+    return sparse.bm25_topk(C.questions(s, d), C.index(s, d), 10, within=C.chunks(s, d).filter("section_path_text = 'src1'"))
 
 
 def bm25_matched_terms(s, d):
-    q, c = C.questions(s, d), C.chunks(s, d)
-    post = sparse.postings(c)
-    hits = sparse.bm25_topk(q, c, 3)
-    return sparse.matched_terms(q, hits, post).select("query_id", "chunk_id", F.array_join("matched_terms", " ").alias("terms"))
+    q, index = C.questions(s, d), C.index(s, d)
+    hits = sparse.bm25_topk(q, index, 3)
+    return sparse.matched_terms(q, hits, index.postings).select("query_id", "chunk_id", F.array_join("matched_terms", " ").alias("terms"))
 
 
 def _dense(metric):
@@ -72,7 +71,7 @@ def _lists(s, d, k=30):
     q = C.questions(s, d)
     v = C.vectors(s, d)
     near = dense.dense_topk(q.join(v, q["query_id"] == v["chunk_id"]).select("query_id", "vector"), v, k)
-    return near.select("query_id", F.concat(F.lit("doc_"), F.col("chunk_id").cast("string"), F.lit(".md::0")).alias("chunk_id"), "score", "rank"), sparse.bm25_topk(q, C.chunks(s, d), k)
+    return near.select("query_id", F.concat(F.lit("doc_"), F.col("chunk_id").cast("string"), F.lit(".md::0")).alias("chunk_id"), "score", "rank"), sparse.bm25_topk(q, C.index(s, d), k)
 
 
 def hybrid_rrf(s, d):
@@ -91,14 +90,14 @@ _FAKE = "1 / (1 + abs(doc % 17 - query_id % 17))"
 
 
 def fake_rerank(s, d):
-    hits = sparse.bm25_topk(C.questions(s, d), C.chunks(s, d), 10)
+    hits = sparse.bm25_topk(C.questions(s, d), C.index(s, d), 10)
     doc = F.regexp_extract("chunk_id", "doc_([0-9]+)", 1).cast("long")
     out = fusion.rerank(hits, 1 / (1 + F.abs(doc % 17 - F.col("query_id") % 17)))
     return out.select("query_id", "chunk_id", "rerank_score", "rank", "stage4_rank")
 
 
 def final_slice(s, d):
-    hits = sparse.bm25_topk(C.questions(s, d), C.chunks(s, d), 10).filter("rank > 2").withColumn("rerank_score", F.when(F.col("rank") % 2 == 0, 1.0))
+    hits = sparse.bm25_topk(C.questions(s, d), C.index(s, d), 10).filter("rank > 2").withColumn("rerank_score", F.when(F.col("rank") % 2 == 0, 1.0))
     return fusion.final_slice(hits, 5).select("query_id", "chunk_id", "rank", "stage4_rank")
 
 
