@@ -13,7 +13,7 @@ from brindle.sources import files
 
 
 def build(spark: SparkSession, folder: str, out: str) -> None:
-    chunks = chunking.chunk_blocks(chunking.blocks(files.markdown(spark, folder, recursive=True)))
+    chunks = chunking.chunk_files(files.markdown(spark, folder, recursive=True))
     chunks.write.mode("overwrite").parquet(f"{out}/chunks")
     chunks = spark.read.parquet(f"{out}/chunks")
     models.embed(chunks.select("chunk_id", "embedding_text"), "embedding_text").select("chunk_id", "vector").write.mode("overwrite").parquet(f"{out}/vectors")

@@ -24,7 +24,7 @@ ARTICLE = r"第\s*[一二三四五六七八九十百千万\d]+\s*[章节条款]"
 NUMBER = r"\d+(?:\.\d+)?"
 # Expansions of a query.
 HAZARD_MORE = {"台风": ["台风", "热带气旋", "防御措施", "应急处置"], "暴雨": ["暴雨", "洪涝", "防汛", "应急处置"], "洪涝": ["洪涝", "洪水", "防汛", "转移避险"], "地震": ["地震", "震灾", "疏散", "避险"], "地质灾害": ["地质灾害", "滑坡", "泥石流", "避险转移"], "山洪": ["山洪", "洪涝", "转移避险", "预警"], "气象灾害": ["气象灾害", "预警", "应急响应", "防御措施"]}
-REGION_MORE = {r: [r, r + ("自治区" if r == "西藏" else "市" if r in ("深圳", "北京", "天津") else "省")] for r in FILTER_REGIONS}
+REGION_MORE = {"深圳": ["深圳", "深圳市"], "广东": ["广东", "广东省"], "河南": ["河南", "河南省"], "湖北": ["湖北", "湖北省"], "四川": ["四川", "四川省"], "陕西": ["陕西", "陕西省"], "北京": ["北京", "北京市"], "天津": ["天津", "天津市"], "西藏": ["西藏", "西藏自治区"], "吉林": ["吉林", "吉林省"], "云南": ["云南", "云南省"]}
 SUBJECT_MORE = {"学校": ["学校", "师生", "停课", "安全管理"], "居民": ["居民", "群众", "转移安置"], "高层": ["高层建筑", "居民", "疏散", "避险"], "高层建筑": ["高层建筑", "居民", "疏散", "避险"], "房屋": ["房屋", "建筑", "风险排查"], "企业": ["企业", "生产", "应急处置"]}
 INTENT_MORE = {"怎么办": ["应急处置", "防御措施", "避险", "转移安置"], "怎么做": ["应急处置", "防御措施", "职责", "措施"], "如何": ["如何", "措施", "流程", "要求"], "疏散": ["疏散", "撤离", "避险", "转移安置"], "撤离": ["撤离", "疏散", "避险", "转移安置"], "避险": ["避险", "转移", "安置", "预警"]}
 TYPE_MORE = {"scenario": ["应急预案", "响应流程", "责任主体"], "multi_hop": ["综合评估", "部门职责", "处置流程"], "ambiguous": ["预警", "应急处置", "防灾减灾"]}
@@ -53,3 +53,15 @@ CONFIDENCE = {"keyword": 0.86, "exact_fact": 0.88, "scenario": 0.78, "multi_hop"
 WEIGHTS = {"raw": 1.0, "normalized": 0.9, "expanded": 0.7, "hyde": 0.6}
 # Marks of a bibliography line.
 REFERENCE_MARKS = ["doi", "journal", "press", "出版社", "学报", "vol.", "no."]
+# Patterns of the line types, in the order in which they are tried: table, bibliography, contents, list.
+TABLE_LINE = r"^\|.*\|$"
+REFERENCE_HEAD = r"(?i)^(参考文献|references?)\s*[:：]?\s*$"
+REFERENCE_LINE = r"^\s*(?:\[\d+\]|\d+[.)、])\s*.+"
+CONTENTS_LINES = [r"^\s*[-—]?\s*\d{1,4}\s*[-—]?\s*$", r"\.{2,}\s*\d+\s*$", r"^\s*\d+(?:\.\d+)*\s+.{2,40}\s+\d{1,4}\s*$"]
+LIST_LINE = r"^\s*(?:[-*+]\s+|\d+[.)、]\s+|[（(]?[一二三四五六七八九十]+[）)]\s*|[①②③④⑤⑥⑦⑧⑨⑩]\s*)"
+# What goes when file names are matched in a query.
+MATCH_DROP = r"[\s\-_—–·•,，。；：:（）()《》“”\"'`]+"
+# Parts of the hypothetical texts; region, hazard and terms go between them.
+HYDE_SHORT = ["发生", "风险时，应查询应急预案中关于", "的规定，重点关注预警发布、应急响应启动、人员疏散转移、临时安置和部门职责等政策段落。"]
+HYDE_LONG = ["针对用户描述的", "处置场景，应检索应急预案和防灾减灾文件中关于", "的内容，包括风险研判、预警响应、学校或居民避险、转移安置、救援协同和责任主体。"]
+HYDE_HAZARD, HYDE_REGION, HYDE_AREA, HYDE_TERMS = "灾害", "相关地区", "地区", "预警、响应、处置、避险"

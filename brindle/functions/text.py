@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 import uuid
 from functools import reduce
@@ -60,7 +61,7 @@ def glued_words(before: Column, after: Column) -> Column:
 
 def match_key(c: Column | str) -> Column:
     """Lower case without spaces and punctuation: for file names in queries."""
-    return F.regexp_replace(strip(F.lower(c)), r"[\s\-_—–·•,，。；：:（）()《》“”\"'`]+", "")
+    return F.regexp_replace(strip(F.lower(c)), L.MATCH_DROP, "")
 
 
 def meaning_key(c: Column | str) -> Column:
@@ -125,13 +126,36 @@ def normalize_query(c: Column) -> Column:
 def line_type(line: Column, in_references: Column | None = None) -> Column:
     """table > reference > toc > list > paragraph; blank for nothing."""
     s = strip(line)
-    low = F.lower(s)
-    reference = s.rlike(r"(?i)^(参考文献|references?)\s*[:：]?\s*$") | (s.rlike(r"^\s*(?:\[\d+\]|\d+[.)、])\s*.+") & has_any(low, L.REFERENCE_MARKS))
-    toc = s.rlike(r"^\s*[-—]?\s*\d{1,4}\s*[-—]?\s*$") | s.rlike(r"\.{2,}\s*\d+\s*$") | s.rlike(r"^\s*\d+(?:\.\d+)*\s+.{2,40}\s+\d{1,4}\s*$")
-    listed = s.rlike(r"^\s*(?:[-*+]\s+|\d+[.)、]\s+|[（(]?[一二三四五六七八九十]+[）)]\s*|[①②③④⑤⑥⑦⑧⑨⑩]\s*)")
+    reference = s.rlike(L.REFERENCE_HEAD) | (s.rlike(L.REFERENCE_LINE) & has_any(F.lower(s), L.REFERENCE_MARKS))
+    toc = reduce(lambda a, b: a | b, [s.rlike(p) for p in L.CONTENTS_LINES])
     if in_references is not None:
         reference = in_references | reference
-    return F.when(s == "", "blank").when(s.rlike(r"^\|.*\|$"), "table").when(reference, "reference").when(toc, "toc").when(listed, "list").otherwise("paragraph")
+    return F.when(s == "", "blank").when(s.rlike(L.TABLE_LINE), "table").when(reference, "reference").when(toc, "toc").when(s.rlike(L.LIST_LINE), "list").otherwise("paragraph")
+
+
+_TABLE, _HEAD, _REFERENCE, _LIST = (re.compile(p, re.ASCII) for p in (L.TABLE_LINE, L.REFERENCE_HEAD, L.REFERENCE_LINE, L.LIST_LINE))
+_CONTENTS = [re.compile(p, re.ASCII) for p in L.CONTENTS_LINES]
+
+
+def line_kind(s: str, in_references: bool = False) -> str:
+    """line_type for a stripped line in a worker."""
+    if not s:
+        return "blank"
+    if _TABLE.search(s):
+        return "table"
+    if in_references or _HEAD.search(s) or _REFERENCE.search(s) and any(m in s.lower() for m in L.REFERENCE_MARKS):
+        return "reference"
+    if any(p.search(s) for p in _CONTENTS):
+        return "toc"
+    return "list" if _LIST.search(s) else "paragraph"
+
+
+def normal_text(s: str | None) -> str:
+    """normalize_markdown for a text in a worker."""
+    t = unicodedata.normalize("NFC", html.unescape(re.sub("\r\n?", "\n", s or "")))
+    t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t)
+    t = re.sub("[ \t\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]+", " ", t)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)[ \t]+$", "", t)).strip()
 
 
 def indexable(text: Column, kind: Column) -> Column:

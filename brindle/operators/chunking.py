@@ -1,16 +1,23 @@
-"""Markdown to typed blocks (windows and islands), and blocks to token-budgeted chunks (one fold over each document)."""
+"""Markdown to typed blocks, and blocks to token-budgeted chunks.
+
+A file is one row and the unit of both rules, so parsing and chunking are one pass over the rows without any shuffle.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.functions.text import embedding_text, indexable, line_type, normalize_markdown, strip
+from brindle.functions import lexicons as L
+from brindle.functions.text import embedding_text, indexable, line_kind, normal_text, normalize_markdown, strip
+
+from .store import spread
 
 
 @dataclass(frozen=True)
@@ -32,130 +39,152 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("source_file", text.alias("_t")).filter("_t <> ''").select("source_file", F.posexplode(F.split("_t", "\n")).alias("n", "line")).select("source_file", (F.col("n") + 1).alias("line_no"), strip("line").alias("line"))
 
 
+_HEADING, _REFERENCES = re.compile(r"(#{1,6})\s+(.+?)\s*$"), re.compile(L.REFERENCE_HEAD, re.ASCII)
+_NO_INDEX = ("toc", "reference", "blank", "heading")
+BLOCK = "source_file string, start_line int, end_line int, block_type string, text string, section_path array<string>, heading_level int, is_indexable boolean"
+
+
+def stem_of(file: str) -> str:
+    return re.sub(r"\.[^.]*$", "", file) or file
+
+
+def document_blocks(file: str, text: str | None) -> list[tuple]:
+    """Rows of BLOCK for one file. A heading closes the open ones of its level and below; lines of one type in a row are one block."""
+    open_, lines, path, heading = {}, [], [stem_of(file)], ""
+    for number, line in enumerate((x.strip() for x in normal_text(text).split("\n")), 1):
+        mark = _HEADING.match(line)
+        if mark:
+            level, heading = len(mark[1]), mark[2].strip()
+            open_ = {k: v for k, v in open_.items() if k < level} | {level: heading}
+            path = [x for x in (open_.get(1, stem_of(file)), *(open_[k] for k in sorted(open_) if k > 1)) if x]
+            lines.append((number, "heading", heading, path, level))
+        else:
+            kind = line_kind(line, bool(_REFERENCES.match(heading)))
+            lines.append((number, kind, line, path, None))
+    out = []
+    # A heading is a block of its own: its line number joins the key.
+    for (kind, _), run in groupby(lines, key=lambda x: (x[1], x[0] if x[1] == "heading" else 0)):
+        run = list(run)
+        if kind != "blank":
+            said = "\n".join(x[2] for x in run).strip()
+            out.append((file, run[0][0], run[-1][0], kind, said, run[0][3], run[0][4], kind not in _NO_INDEX and len(said) > 1))
+    return out
+
+
 def blocks(files: DataFrame) -> DataFrame:
-    """source_file, start_line, end_line, block_type, text, section_path, heading_level, is_indexable.
+    """source_file, start_line, end_line, block_type, text, section_path, heading_level, is_indexable; null text gives no block."""
 
-    Headings keep a path: the last heading of each level that no later heading of a smaller level has closed. Other lines
-    of one type that follow each other are an island and become one block. All windows are partitioned by file.
-    """
-    w = W.partitionBy("source_file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    mark = F.regexp_extract("line", r"^(#{1,6})\s+(.+?)\s*$", 1)
-    df = lines(files).withColumn("level", F.when(mark != "", F.length(mark))).withColumn("title", F.when(mark != "", strip(F.regexp_extract("line", r"^(#{1,6})\s+(.+?)\s*$", 2))))
-    stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
-    stem = F.when(stem == "", F.col("source_file")).otherwise(stem)
-    last = lambda lvl: F.last(F.when(F.col("level") == lvl, F.struct("line_no", "title")), ignorenulls=True).over(w)
-    df = df.withColumns({f"h{i}": last(i) for i in range(1, 7)})
-    path = [F.coalesce(F.col("h1.title"), stem)]
-    for i in range(2, 7):
-        above = F.greatest(*[F.coalesce(F.col(f"h{j}.line_no"), F.lit(0)) for j in range(1, i)], F.lit(0))
-        path.append(F.when(F.col(f"h{i}.line_no") > above, F.col(f"h{i}.title")))
-    df = df.withColumn("section_path", F.filter(F.array_compact(F.array(*path)), lambda x: x != ""))
-    heading = F.last(F.col("title"), ignorenulls=True).over(w)
-    in_refs = F.coalesce(heading.rlike(r"(?i)^(参考文献|references?)\s*[:：]?\s*$"), F.lit(False))
-    df = df.withColumn("refs", in_refs).withColumn("kind", F.when(F.col("level").isNotNull(), "heading").otherwise(line_type(F.col("line"), F.col("refs"))))
-    before = F.lag("kind").over(W.partitionBy("source_file").orderBy("line_no"))
-    new = (before.isNull() | (before != F.col("kind")) | (F.col("kind") == "heading")).cast("int")
-    df = df.withColumn("new", new).withColumn("island", F.sum("new").over(w)).filter("kind <> 'blank'")
-    part = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("title", "line").alias("t")))), lambda x: x["t"])
-    out = df.groupBy("source_file", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.first("kind").alias("block_type"), strip(F.array_join(part, "\n")).alias("text"), F.first("section_path").alias("section_path"), F.first("level").alias("heading_level"))
-    return out.select("source_file", "start_line", "end_line", "block_type", "text", "section_path", "heading_level", indexable(F.col("text"), F.col("block_type")).alias("is_indexable"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [r for file, text in zip(pdf["source_file"], pdf["text"], strict=True) if normal_text(text) for r in document_blocks(file, text)]
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCK.split(", ")])
+            yield frame.astype({"heading_level": "Int32"})
 
+    return spread(files.select("source_file", "text")).mapInPandas(run, BLOCK)
 
-_TOKEN, _END = re.compile("[A-Za-z0-9]+|[一-鿿]|\\S"), re.compile(r"(?<=[。！？；;.!?])")
 
+_TOKEN, _END = re.compile("[A-Za-z0-9]+|[一-鿿]|\\S"), re.compile(r"(?<=[。！？；;.!?])")
 
-class _Fold:
-    """Accumulates the units of one document into chunks of (section, content)."""
 
-    def __init__(self, stem: str, p: ChunkParams):
-        self.stem, self.p, self.out, self.units, self.section = stem, p, [], [], None
+def units_of(text: str, room: int) -> list[tuple[str, int]]:
+    """Sentences with their token counts; one over ``room`` tokens comes in windows of that many, joined without spaces."""
+    out = []
+    for s in [x.strip() for x in _END.split(text) if x.strip()] or [text.strip()]:
+        words = _TOKEN.findall(s)
+        out += [(s, len(words))] if len(words) <= room else [(w, len(_TOKEN.findall(w))) for w in ("".join(words[i : i + room]) for i in range(0, len(words), room))]
+    return [u for u in out if u[0]]
 
-    def prefix(self, section: tuple[str, ...]) -> int:
-        return len(_TOKEN.findall(f"[文档] {self.stem}\n[章节] {' > '.join(section) if section else self.stem}\n[正文] "))
 
-    def size(self, section, text: str) -> int:
-        return self.prefix(section) + len(_TOKEN.findall(text))
+def pack_section(units: list[tuple[str, int]], prefix: int, p: ChunkParams) -> tuple[list[str], str]:
+    """The closed chunks of one section, and the text that is still open.
 
-    def text(self) -> str:
-        return "\n".join(u for u in self.units if u).strip()
+    Token counts of lines add up, so a chunk's size is a running sum (prefix, open tokens) and only what is carried over is counted again. A unit joins up to the target,
+    a short one up to the soft limit; otherwise the chunk closes and the unit starts the next behind the overlap, or bare where both are
+    over the hard limit. What reaches the soft limit by its first unit closes at once.
+    """
+    closed, open_, size = [], [], prefix
+
+    def carry() -> tuple[list[str], int]:
+        text = "\n".join(open_)
+        closed.append(text)
+        words = _TOKEN.findall(text) if p.overlap else []
+        if len(words) > p.overlap:
+            text = "".join(words[-p.overlap :])
+            words = _TOKEN.findall(text)  # words that now touch are one token
+        return ([text], prefix + len(words)) if words else ([], prefix)
+
+    for text, n in units:
+        limit = p.soft if "\n" in text or len(text) < 200 else p.target
+        joins = bool(open_) and size + n <= limit
+        if open_ and not joins:
+            open_, size = carry()
+            if size + n > p.hard:
+                open_, size = [], prefix
+        open_, size = [*open_, text], size + n
+        if not joins and size >= p.soft:
+            open_, size = carry()
+    return closed, "\n".join(open_)
 
-    def overlap(self, text: str) -> str:
-        words = _TOKEN.findall(text)
-        if self.p.overlap <= 0:
-            return ""
-        return text if len(words) <= self.p.overlap else "".join(words[-self.p.overlap :])
 
-    def close(self, carry: bool = True) -> None:
-        text = self.text()
-        if text:
-            self.out.append([self.section or (), text])
-        rest = self.overlap(text) if carry and text else ""
-        self.units = [rest] if rest else []
+def fold_document(stem: str, rows: list[tuple[tuple[str, ...], str]], p: ChunkParams) -> list[tuple[list[str], str]]:
+    """rows: section and text of a document's indexable blocks, in order. Chunks as (section, content).
 
-    def add(self, section: tuple[str, ...], unit: str) -> None:
-        p = self.p
-        if self.units and section != self.section:
-            self.close(carry=False)
-        self.section = section
-        if not self.units:
-            self.units = [unit]
-        else:
-            both = self.size(section, f"{self.text()}\n{unit}")
-            if both <= p.target or both <= p.soft and ("\n" in unit or len(unit) < 200):
-                self.units.append(unit)
-                return
-            self.close()
-            kept = self.text()
-            if self.size(section, f"{kept}\n{unit}" if kept else unit) > p.hard:
-                self.units = [unit]
+    Overlap never crosses a section. The document's last open text is dropped if it is only the overlap, and joins the chunk before it if
+    it is under the least size and both fit.
+    """
+    out, last = [], ((), "")
+    for section, run in groupby(rows, key=lambda r: r[0]):
+        if last[1]:
+            out.append(last)
+        prefix = len(_TOKEN.findall(f"[文档] {stem}\n[章节] {' > '.join(section) if section else stem}\n[正文] "))
+        closed, rest = pack_section([u for _, text in run for u in units_of(text, max(16, p.hard - prefix))], prefix, p)
+        out += [(section, c) for c in closed]
+        last = section, rest
+    section, tail = last
+    if tail:
+        words, before = _TOKEN.findall(tail), _TOKEN.findall(out[-1][1]) if out else []
+        only_overlap = bool(out) and p.overlap > 0 and tail == (out[-1][1] if len(before) <= p.overlap else "".join(before[-p.overlap :]))
+        if not only_overlap:
+            if out and out[-1][0] == section and len(words) < p.least and prefix + len(before) + len(words) <= p.hard:
+                out[-1] = section, f"{out[-1][1]}\n{tail}"
             else:
-                self.units.append(unit)
-        if self.size(section, self.text()) >= p.soft:
-            self.close()
-
-    def end(self) -> list:
-        tail, out = self.text(), self.out
-        if not tail or out and tail == self.overlap(out[-1][1]):
-            return out
-        if out and len(_TOKEN.findall(tail)) < self.p.least and out[-1][0] == (self.section or ()) and self.size(out[-1][0], f"{out[-1][1]}\n{tail}") <= self.p.hard:
-            out[-1][1] = f"{out[-1][1]}\n{tail}".strip()
-        else:
-            out.append([self.section or (), tail])
-        return out
+                out.append((section, tail))
+    return [(list(s), t) for s, t in out]
 
 
-def fold_document(stem: str, rows: list[tuple[tuple[str, ...], str]], p: ChunkParams) -> list[tuple[list[str], str]]:
-    """rows: section and text of a document's indexable blocks, in order."""
-    fold = _Fold(stem, p)
-    for section, text in rows:
-        room = max(16, p.hard - fold.prefix(section))
-        for s in [x.strip() for x in _END.split(text) if x.strip()] or [text]:
-            words = _TOKEN.findall(s) if len(s) > room else []
-            units = ["".join(words[i : i + room]) for i in range(0, len(words), room)] if len(words) > room else [s]
-            for u in units:
-                if u.strip():
-                    fold.add(section, u.strip())
-    return [(list(s), t) for s, t in fold.end()]
+CHUNK = "source_file string, chunk_index int, section_path array<string>, content string"
+
+
+def _chunk_rows(files: Iterator[tuple[str, list[tuple]]], p: ChunkParams) -> pd.DataFrame:
+    out = [(file, i, section, text) for file, rows in files for i, (section, text) in enumerate(fold_document(stem_of(file), rows, p))]
+    return pd.DataFrame(out, columns=["source_file", "chunk_index", "section_path", "content"])
+
+
+def chunk_files(files: DataFrame, params: ChunkParams | None = None) -> DataFrame:
+    """Files to chunks in one pass: what blocks and chunk_blocks give together, without a shuffle."""
+    p = params or ChunkParams()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            made = ((file, [(tuple(b[5]), b[4]) for b in document_blocks(file, text) if b[7]]) for file, text in zip(pdf["source_file"], pdf["text"], strict=True))
+            yield _chunk_rows(made, p)
+
+    return enrich(spread(files.select("source_file", "text")).mapInPandas(run, CHUNK))
 
 
 def chunk_blocks(df: DataFrame, params: ChunkParams | None = None) -> DataFrame:
     """Blocks of many files to chunks: chunk_id, source_file, chunk_index, section_path, section_path_text, content, embedding_text, token_count, char_count, hashes.
 
-    A file's blocks are gathered into one array (a document is the unit of the fold) and go through one Arrow batch UDF.
+    For blocks that come from elsewhere: a file's blocks are gathered into one array, as a document is the unit of the rule.
     """
     p = params or ChunkParams()
     rows = df.filter("is_indexable").groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "section_path", "text"))), lambda x: F.struct(x["section_path"].alias("s"), x["text"].alias("t"))).alias("rows"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for file, items in zip(pdf["source_file"], pdf["rows"], strict=True):
-                stem = re.sub(r"\.[^.]*$", "", file) or file
-                for i, (section, text) in enumerate(fold_document(stem, [(tuple(x["s"]), x["t"]) for x in items], p)):
-                    out.append((file, i, section, text))
-            yield pd.DataFrame(out, columns=["source_file", "chunk_index", "section_path", "content"])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield _chunk_rows(((file, [(tuple(x["s"]), x["t"]) for x in items]) for file, items in zip(pdf["source_file"], pdf["rows"], strict=True)), p)
 
-    return enrich(rows.mapInPandas(run, "source_file string, chunk_index int, section_path array<string>, content string"))
+    return enrich(rows.mapInPandas(run, CHUNK))
 
 
 def enrich(chunks: DataFrame) -> DataFrame:

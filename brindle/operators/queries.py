@@ -80,11 +80,13 @@ def branches(plans: DataFrame, max_chars: int = 220, limit: int | None = None) -
 def hyde(plans: DataFrame, mode: str = "rule", content: str = "") -> DataFrame:
     """Hypothetical text for open queries: query_id, content, used, reason. Only a search branch, never evidence."""
     allowed = F.col("query_type").isin("scenario", "ambiguous") & F.col("time_hint").isNull() & ~has_any(F.col("normalized_query"), L.EXACT_MARKERS)
-    hazard = F.coalesce("hazard_hint", F.lit("灾害"))
-    region = F.coalesce(F.concat("region_hint", F.lit("地区")), F.lit("相关地区"))
-    terms = F.when(F.size("extracted_terms") > 0, F.array_join(F.slice("extracted_terms", 1, 4), "、")).otherwise("预警、响应、处置、避险")
-    short = F.concat(region, F.lit("发生"), hazard, F.lit("风险时，应查询应急预案中关于"), terms, F.lit("的规定，重点关注预警发布、应急响应启动、人员疏散转移、临时安置和部门职责等政策段落。"))
-    long = F.concat(F.lit("针对用户描述的"), hazard, F.lit("处置场景，应检索应急预案和防灾减灾文件中关于"), terms, F.lit("的内容，包括风险研判、预警响应、学校或居民避险、转移安置、救援协同和责任主体。"))
+    hazard = F.coalesce("hazard_hint", F.lit(L.HYDE_HAZARD))
+    region = F.coalesce(F.concat("region_hint", F.lit(L.HYDE_AREA)), F.lit(L.HYDE_REGION))
+    terms = F.when(F.size("extracted_terms") > 0, F.array_join(F.slice("extracted_terms", 1, 4), "、")).otherwise(L.HYDE_TERMS)
+    a, b, c = (F.lit(x) for x in L.HYDE_SHORT)
+    short = F.concat(region, a, hazard, b, terms, c)
+    a, b, c = (F.lit(x) for x in L.HYDE_LONG)
+    long = F.concat(a, hazard, b, terms, c)
     text = {"rule": F.when(F.col("query_type") == "ambiguous", short).otherwise(long), "fake": F.lit(content), "disabled": F.lit("")}[mode]
     use = allowed if mode != "disabled" else F.lit(False)
     reason = F.lit("disabled") if mode == "disabled" else F.when(allowed, f"{mode}_hyde").otherwise(F.concat(F.lit("query_type_"), F.col("query_type"), F.lit("_not_allowed")))

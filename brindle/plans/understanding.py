@@ -99,11 +99,11 @@ def page_blocks(s, d):
 
 
 def page_chunks(s, d):
-    return chunking.chunk_blocks(chunking.blocks(_pages(s, d))).select("chunk_id", "section_path_text", "token_count", "char_count", "content_hash", "embedding_text_hash")
+    return chunking.chunk_files(_pages(s, d)).select("chunk_id", "section_path_text", "token_count", "char_count", "content_hash", "embedding_text_hash")
 
 
 def chunk_documents(s, d):
-    return chunking.chunk_blocks(chunking.blocks(C.files(s, d))).select("chunk_id", "source_file", "chunk_index", "token_count", "char_count", "content_hash")
+    return chunking.chunk_files(C.files(s, d)).select("chunk_id", "source_file", "chunk_index", "token_count", "char_count", "content_hash")
 
 
 def chunk_quality_report(s, d):

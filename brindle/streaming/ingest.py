@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.chunking import blocks, chunk_blocks
+from brindle.operators.chunking import chunk_files
 from brindle.operators.sync import change_set
 
 
@@ -31,7 +31,7 @@ def start(spark: SparkSession, path: str, out: str, checkpoint: str):
             known = last.withColumn("status", F.lit("active"))
         todo = change_set(batch, known).filter("change_type in ('added', 'modified')").select("source_file")
         fresh = batch.join(todo, "source_file", "left_semi")
-        chunks = chunk_blocks(blocks(fresh)).join(fresh.select("source_file", F.col("content_hash").alias("file_hash")), "source_file")
+        chunks = chunk_files(fresh).join(fresh.select("source_file", F.col("content_hash").alias("file_hash")), "source_file")
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
 
     return file_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
