@@ -17,7 +17,7 @@ def build(spark: SparkSession, folder: str, out: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{out}/chunks")
     chunks = spark.read.parquet(f"{out}/chunks")
     models.embed(chunks.select("chunk_id", "embedding_text"), "embedding_text").select("chunk_id", "vector").write.mode("overwrite").parquet(f"{out}/vectors")
-    files.save_index(sparse.postings(chunks), sparse.corpus_stats(chunks), f"{out}/bm25")
+    sparse.Index.build(chunks, f"{out}/bm25")
     chunking.quality_report(chunks).show(truncate=False)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -133,7 +132,7 @@ def answer(queries: DataFrame, found: DataFrame, gate: DataFrame | None = None,
 
 
 def refine_loop(rows: DataFrame, propose: Callable[[DataFrame], DataFrame], critique: Callable[[DataFrame], DataFrame], stop: list[str], rounds: int = 3) -> DataFrame:
-    """propose and critique add ``answer`` and ``critique``; rows whose critique holds a stop word are final, others go round again.
+    """propose and critique add ``answer`` and ``critique`` and see how many rounds are done; rows whose critique holds a stop word are final, others go round again.
 
     The whole batch advances together: the loop is over rounds, never over rows.
     """
@@ -145,7 +144,3 @@ def refine_loop(rows: DataFrame, propose: Callable[[DataFrame], DataFrame], crit
         done = final if done is None else done.unionByName(final, allowMissingColumns=True)
         active = active.filter(~over)
     return done
-
-
-def rules_category(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    return reduce(lambda c, r: c.when(has_any(text, r[1]), r[0]), rules, F.when(F.lit(False), "")).otherwise("other")

@@ -70,3 +70,8 @@ def fill_budget(merged: DataFrame, budget: int = 1200, least: int = 1) -> DataFr
 
 def pack(candidates: DataFrame, chunks: DataFrame, budget: int = 1200, extra: int = 1, least: int = 1) -> DataFrame:
     return fill_budget(merge_adjacent(expand(candidates, chunks, extra), chunks), budget, least)
+
+
+def explode(packed: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id: the chunks of packed items, each with the rank of its item."""
+    return packed.select("query_id", F.col("pack_order").alias("rank"), F.explode("chunk_ids").alias("chunk_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,13 +43,15 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     Queries go to the workers in blocks of at most QUERY_BLOCK rows, so what travels has a fixed bound; the vectors stay where they are
     read. A task meets its rows batch by batch as matrix products and keeps k rows a query, ties included, so what is shuffled is
     k rows for each query and task whatever the size of the table. Vectors of another width than the queries', or missing ones, raise.
+    Where queries have a source_file, a query that names one meets the chunks of that file alone.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     vectors = vectors.filter(keep) if keep is not None else vectors
     qtype, ctype = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
     none = vectors.sparkSession.createDataFrame([], f"query_id {qtype}, chunk_id {ctype}, score double, rank int")
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    file = F.col("source_file") if "source_file" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), file.alias("source_file"))
     n, low, high = asked.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
     if k <= 0 or not n:
         return none
@@ -67,6 +70,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
 
 def _block_topk(asked: pa.Table, x: DataFrame, k: int, metric: str, width: int, schema: str) -> DataFrame:
     ids, q = asked["query_id"].combine_chunks(), _rows(asked["vector"], width)
+    own = {i: f for i, f in enumerate(asked["source_file"].to_pylist()) if f is not None}
 
     def run(batches):
         held = []  # (query, chunk_id, score) of the best so far, a row for each
@@ -75,7 +79,11 @@ def _block_topk(asked: pa.Table, x: DataFrame, k: int, metric: str, width: int,
             if not batch.num_rows or not len(q):
                 continue
             s = _scores(q, _rows(batch.column("vector"), width), metric)
-            a, b = np.nonzero(_best(np.round(s, 9), k))
+            if own:
+                names_of = pc.replace_substring_regex(batch.column("chunk_id").cast(pa.string()), "::[0-9]+$", "")
+                for i, f in own.items():
+                    s[i, ~pc.equal(names_of, f).to_numpy(zero_copy_only=False)] = -np.inf
+            a, b = np.nonzero(_best(np.round(s, 9), k) & (s > -np.inf))
             held.append((a, batch.column("chunk_id").take(pa.array(b)), s[a, b]))
             rows = np.concatenate([rows, a])
             names = held[-1][1] if names is None else pa.concat_arrays([names, held[-1][1]])

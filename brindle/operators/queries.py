@@ -93,21 +93,31 @@ def hyde(plans: DataFrame, mode: str = "rule", content: str = "") -> DataFrame:
     return plans.select("query_id", F.when(use, F.substring(squeeze(text), 1, 220)).otherwise("").alias("content"), use.alias("used"), reason.alias("reason"))
 
 
-def detect_file(queries: DataFrame, files: DataFrame) -> DataFrame:
+def detect_file(queries: DataFrame, files: DataFrame, gram: int = 8) -> DataFrame:
     """query_id, source_file: the longest file name (or stem) that the query equals or contains; ties to the smaller name.
 
-    Names are cut out of the query by an equality join where possible: a name's key has a length, and every substring of
-    the query's key of a length that some name has is looked up, so the join stays a hash join however many files there are.
+    A query gives one row for each of its places and each length of a name's start (its first ``gram`` characters, or all of a shorter one).
+    Only where a start meets one are whole keys cut out of the query, in the lengths that names with this start have, and looked up; so a
+    long query costs little beside its length, and names with a common opening never meet it one by one.
     """
-    keyed = files.select("source_file").filter("trim(source_file) <> ''").distinct().select("source_file", F.explode(F.array_distinct(F.array(match_key("source_file"), match_key(F.regexp_replace("source_file", r"\.[^.]*$", ""))))).alias("key")).filter("key <> ''")
-    lengths = keyed.agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths"))  # one row: the different lengths of names
+    keyed = files.select("source_file").filter("trim(source_file) <> ''").distinct().select("source_file", F.explode(F.array_distinct(F.array(match_key("source_file"), match_key(F.regexp_replace("source_file", r"\.[^.]*$", ""))))).alias("key")).filter("key <> ''").withColumn("start", F.substring("key", 1, gram))
+    starts = keyed.groupBy("start").agg(F.collect_set(F.length("key")).alias("sizes"))
+    lengths = keyed.agg(F.array_sort(F.collect_set(F.length("start"))).alias("lengths"))  # one row of at most ``gram`` lengths
     q = queries.select("query_id", match_key("query").alias("q")).filter("q <> ''").join(F.broadcast(lengths))
-    parts = F.flatten(F.transform("lengths", lambda n: F.when(F.length("q") >= n, F.transform(F.sequence(F.lit(1), F.length("q") - n + 1), lambda i: F.substring(F.col("q"), i, n))).otherwise(F.array().cast("array<string>"))))
-    hits = q.select("query_id", F.explode(F.array_distinct(parts)).alias("key")).join(keyed, "key")
+    place = lambda n: F.when(F.length("q") >= n, F.transform(F.sequence(F.lit(1), F.length("q") - n + 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("q"), i, n).alias("start")))).otherwise(F.array().cast("array<struct<at:int,start:string>>"))
+    met = q.select("query_id", "q", F.explode(F.flatten(F.transform("lengths", place))).alias("p")).select("query_id", "q", "p.at", "p.start").join(starts, "start")
+    keys = met.select("query_id", F.explode(F.transform("sizes", lambda n: F.substring(F.col("q"), F.col("at"), n))).alias("key")).distinct()
+    hits = keys.join(keyed.drop("start"), "key")
     best = W.partitionBy("query_id").orderBy(F.desc(F.length("source_file")), "source_file")
     return hits.withColumn("n", F.row_number().over(best)).filter("n = 1").select("query_id", "source_file")
 
 
+def filter_plan(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """query_id, source_file, hints, active (the filters a search applies): the file is applied, hints are reserved."""
+    plan = filter_hints(queries).join(detect_file(queries, files), "query_id", "left")
+    return plan.withColumn("active", F.when(F.col("source_file").isNotNull(), F.create_map(F.lit("source_file"), F.col("source_file"))).otherwise(F.create_map().cast("map<string,string>")))
+
+
 def filter_hints(queries: DataFrame) -> DataFrame:
     same = lambda ws: [(w, w) for w in ws]
     return queries.select("query_id", first_alias(F.col("query"), same(L.FILTER_REGIONS)).alias("region_hint"), first_alias(F.col("query"), same(L.FILTER_HAZARDS)).alias("hazard_hint"), first_alias(F.col("query"), same(L.FILTER_KINDS)).alias("document_type_hint"))
@@ -127,6 +137,13 @@ def domain_gate(queries: DataFrame, confidence: Column | None = None, inside: li
     return said.select("query_id", decision.alias("decision"), signals.alias("signals"), reason.alias("reason"))
 
 
+def second_gate(gate: DataFrame, other: DataFrame) -> DataFrame:
+    """The rules' decision, and where it is uncertain that of another gate (query_id, decision); one that has no opinion changes nothing."""
+    said = other.select("query_id", F.col("decision").alias("_other")).filter(F.col("_other").isin("in_domain", "out_of_domain"))
+    use = (F.col("decision") == "uncertain") & F.col("_other").isNotNull()
+    return gate.join(said, "query_id", "left").withColumns({"reason": F.when(use, "classifier_decision").otherwise(F.col("reason")), "decision": F.when(use, F.col("_other")).otherwise(F.col("decision"))}).drop("_other")
+
+
 def coarse_category(text: Column, rules: list[tuple[str, list[str]]], default: str = "other") -> Column:
     """The first rule with a word in the text."""
     return reduce(lambda c, r: c.when(has_any(text, r[1]), r[0]), rules, F.when(F.lit(False), default)).otherwise(default)

@@ -65,14 +65,16 @@ class Index:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, qtf: repeated query terms count repeatedly."""
-    return queries.select("query_id", F.explode(bm25_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    """query_id, source_file, term, qtf: repeated query terms count repeatedly."""
+    file = F.col("source_file") if "source_file" in queries.columns else F.lit(None).cast("string")
+    return queries.select("query_id", file.alias("source_file"), F.explode(bm25_tokens("query")).alias("term")).groupBy("query_id", "source_file", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame | Index, k: int = 10, keep: Column | None = None, k1: float = K1, b: float = B, within: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank. chunks: chunks, or an index built before.
 
     keep: a filter over chunks, applied to what is scored but not to the statistics; with an index, within holds the chunk_ids instead.
+    Where queries have a source_file, a query that names one meets the chunks of that file alone (chunk ids start with their file).
     Query terms are joined with the term table first; where they are few (counted) they are broadcast with their weights, so a stop word's
     postings never meet in one task and nothing but (query, chunk, partial sum) is shuffled. Ties go to the smaller chunk_id.
     """
@@ -85,7 +87,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | Index, k: int = 10, keep:
         post = post.join(hint(wanted.select("term").distinct()), "term", "left_semi")  # only terms that some query has
         terms = term_table(post)
     idf = F.log(1 + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(hint(wanted), "term").join(F.broadcast(stats)).select("query_id", "term", (idf * F.col("qtf")).alias("w"), "avg_doc_len")  # stats: one row
+    weighed = terms.join(hint(wanted), "term").join(F.broadcast(stats)).select("query_id", "source_file", "term", (idf * F.col("qtf")).alias("w"), "avg_doc_len")  # stats: one row
     if keep is not None:
         if index:
             raise ValueError("an index has no chunk columns: give within")
@@ -94,7 +96,8 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | Index, k: int = 10, keep:
         post = post.join(within.select("chunk_id"), "chunk_id", "left_semi")
     length = F.when(F.col("doc_len") == 0, 1).otherwise(F.col("doc_len")) / F.greatest(F.col("avg_doc_len"), F.lit(1e-9))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    scored = post.join(hint(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw"))
+    fits = F.col("source_file").isNull() | (F.col("source_file") == F.regexp_replace(F.col("chunk_id").cast("string"), "::[0-9]+$", ""))
+    scored = post.join(hint(weighed), "term").filter(fits).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id"))
     return scored.filter("raw > 0").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("raw", 6).alias("score"), "rank")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,29 +11,28 @@ from brindle.operators import queries as qu
 from brindle.functions.text import strip
 
 from . import corpus as C
-from .retrieval import ALL, COSINE, DENSE
+from .retrieval import ALL, CHUNKS, COSINE, DENSE
 
 
-def _line_candidates(s, d, whole=False):
-    """Lines as candidates of the questions, one question in eight each: as in the SQL twins those whose length is a multiple of 41, or all that are not empty."""
-    lines = C.lines(s, d)
-    return lines.filter("content <> ''" if whole else "length(content) % 41 = 0 and content <> ''").select((F.col("doc_id") % 8).alias("query_id"), "chunk_id", F.round(1.0 / (F.col("chunk_index") + 2) + F.length("content") / 10000.0, 6).alias("fusion_score"))
+def _line_hits(s, d, k=8):
+    """The best lines of each question as candidates."""
+    hits = sparse.bm25_topk(C.questions(s, d), C.index(s, d, "lines"), k)
+    return hits.select("query_id", "chunk_id", F.round(1.0 / (60 + F.col("rank")), 6).alias("fusion_score"))
 
 
-def context_neighbors(s, d, whole=False):
-    out = context.expand(_line_candidates(s, d, whole), C.lines(s, d), extra=1)
+def context_neighbors(s, d):
+    out = context.expand(_line_hits(s, d), C.lines(s, d), extra=1)
     return out.select("query_id", "chunk_id", F.round("fusion_score", 6).alias("fusion_score"), F.round("sort_score", 6).alias("sort_score"))
 
 
-def context_islands(s, d, whole=False):
+def context_islands(s, d):
     lines = C.lines(s, d)
-    out = context.merge_adjacent(context.expand(_line_candidates(s, d, whole), lines, extra=1), lines)
+    out = context.merge_adjacent(context.expand(_line_hits(s, d), lines, extra=1), lines)
     return out.select("query_id", "source_file", "section_path_text", F.array_join(F.transform("chunk_indexes", lambda x: x.cast("string")), ",").alias("indexes"), F.md5("content").alias("digest"), "token_count", F.round("sort_score", 6).alias("sort_score"))
 
 
-def context_budget(s, d, whole=False):
-    lines = C.lines(s, d)
-    out = context.pack(_line_candidates(s, d, whole), lines, budget=1200)
+def context_budget(s, d):
+    out = context.pack(_line_hits(s, d), C.lines(s, d), budget=1200)
     return out.select("query_id", "citation_id", "source_file", F.array_join("chunk_ids", ",").alias("chunk_ids"), "token_count", "total_tokens")
 
 
@@ -142,9 +139,8 @@ def group_summary(s, d):
     return t.groupBy(F.coalesce("source", F.lit("unknown")).alias("grp"), F.coalesce("error", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg("faithfulness"), 4).alias("faithfulness"))
 
 
-def dataset_validation(s, d, whole=False):
-    """Queries are the first 30 characters of the texts, as in the SQL twin, or the whole texts."""
-    t = C.table(s, d, "documents").select((F.floor(F.col("doc_id") / 2) + F.col("doc_id") % 3).alias("query_id"), (F.col("text") if whole else F.substring("text", 1, 30)).alias("query"), F.array(F.col("doc_id"), F.col("doc_id") + 7).alias("relevant"))
+def dataset_validation(s, d):
+    t = C.table(s, d, "documents").select((F.floor(F.col("doc_id") / 2) + F.col("doc_id") % 3).alias("query_id"), F.col("text").alias("query"), F.array(F.col("doc_id"), F.col("doc_id") + 7).alias("relevant"))
     return evaluation.dataset_problems(t, C.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id")))
 
 
@@ -235,17 +231,16 @@ def row_status(s, d):
     return t.groupBy(evaluation.row_status(F.col("error"), F.col("is_fallback")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def context_explode(s, d, whole=False):
+def context_explode(s, d):
     """Packed chunks back to ranked rows: every chunk keeps the rank of its evidence."""
-    out = context.pack(_line_candidates(s, d, whole), C.lines(s, d), budget=1200)
-    return out.select("query_id", F.col("pack_order").alias("rank"), F.explode("chunk_ids").alias("chunk_id"))
+    return context.explode(context.pack(_line_hits(s, d), C.lines(s, d), budget=1200))
 
 
 def agent_loop(s, d):
     q = C.table(s, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    propose = lambda t: t.withColumn("answer", F.substring("query", 1, 20))
-    critique = lambda t: t.withColumn("critique", F.when(F.length("query") % 3 == F.col("iteration"), "approved").otherwise("refine"))
-    return answers.refine_loop(q, propose, critique, ["approved"], rounds=3).select("query_id", "iteration", "critique")
+    propose = lambda t: t.withColumn("answer", F.concat_ws(" ", F.col("iteration").cast("string"), F.reverse("query")))
+    critique = lambda t: t.withColumn("critique", F.when(F.length("answer") % 3 == F.col("iteration"), "approved").otherwise("refine"))
+    return answers.refine_loop(q, propose, critique, ["approved"], rounds=3).select("query_id", "iteration", "critique", F.md5("answer").alias("digest"))
 
 
 def compact_text(s, d):
@@ -293,13 +288,14 @@ QUERIES = {
     f.__name__: f
     for f in (full_search, full_answers, quota_selection, balanced_selection, plain_chunks, category_rules, context_neighbors, context_islands, context_budget, context_explode, evidence_rank, template_answer, answer_batch, citation_mapping, citation_verify, guardrail, recall_mrr_ndcg, metric_summary, ranking_agreement, ablation_rank_shift, latency_percentiles, latency_p95_truncated, answer_summary, decision_confusion, group_summary, dataset_validation, worst_examples, judge_ratios, acceptance_gate, metric_delta, change_set, registry_upsert, registry_soft_delete, chunk_mapping_replace, resume_antijoin, stratified_sample, template_cross, hit_rate_summary, row_status, agent_loop, compact_text)
 }
-#: The same over every line and whole texts: the SQL twins take the lines of some lengths and the starts of texts alone, so these have none.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (context_neighbors, context_islands, context_budget, context_explode, dataset_validation)}
 
-_LINES = r"""
+_LINES = (
+    r"""
 lines AS (SELECT 'doc_' || doc_id || '.md::' || i AS chunk_id, 'doc_' || doc_id || '.md' AS source_file, CAST(i AS INTEGER) AS chunk_index, 's' || (i // 5) AS section_path_text, content, len(regexp_extract_all(content, '[A-Za-z0-9]+|[^\s]')) AS token_count, doc_id
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
-cand AS (SELECT doc_id % 8 AS query_id, *, round(1 / (chunk_index + 2.0::DOUBLE) + length(content) / 10000.0::DOUBLE, 6) AS fs FROM lines WHERE length(content) % 41 = 0 AND content <> ''),
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),"""
+    + ALL.replace(f"chunks AS ({CHUNKS})", "chunks AS (SELECT * FROM lines)")
+    + r""",
+cand AS (SELECT query_id, l.*, round(1 / (60.0::DOUBLE + rank), 6) AS fs FROM bm25 JOIN lines l USING (chunk_id) WHERE rank <= 8),
 mate AS (SELECT c.query_id, l.chunk_id, c.fs * 0.94::DOUBLE AS fs, row_number() OVER (PARTITION BY c.query_id, c.chunk_id ORDER BY l.chunk_index) AS n FROM cand c JOIN lines l USING (source_file, section_path_text) WHERE l.chunk_id <> c.chunk_id),
 expanded AS (SELECT query_id, chunk_id, max(fs) AS fs FROM (SELECT query_id, chunk_id, fs FROM cand
   UNION ALL SELECT c.query_id, l.chunk_id, c.fs * 0.97::DOUBLE FROM cand c JOIN lines l USING (source_file, section_path_text) WHERE abs(l.chunk_index - c.chunk_index) = 1
@@ -307,6 +303,7 @@ expanded AS (SELECT query_id, chunk_id, max(fs) AS fs FROM (SELECT query_id, chu
 e2 AS (SELECT e.query_id, l.*, e.fs, l.chunk_index - row_number() OVER (PARTITION BY e.query_id, l.source_file, l.section_path_text ORDER BY l.chunk_index) AS island FROM expanded e JOIN lines l USING (chunk_id)),
 merged AS (SELECT query_id, source_file, section_path_text, min(chunk_index) AS first_index, string_agg(chunk_id, ',' ORDER BY chunk_index) AS chunk_ids, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS indexes,
   regexp_replace(string_agg(content, chr(10) ORDER BY chunk_index), '^\s+|\s+$', '', 'g') AS content, CAST(sum(token_count) AS BIGINT) AS token_count, max(fs) AS fs FROM e2 GROUP BY query_id, source_file, section_path_text, island)"""
+)
 _PACK = (
     "WITH RECURSIVE "
     + _LINES.lstrip()
@@ -389,7 +386,7 @@ SELECT *, CASE WHEN base_rank <= 10 OR other_rank <= 10 THEN base_rank - other_r
     "decision_confusion": f"""WITH c AS (SELECT count(*) FILTER (out_of_domain AND is_fallback) AS a, count(*) FILTER (out_of_domain AND NOT is_fallback) AS b, count(*) FILTER (NOT out_of_domain AND is_fallback) AS c, count(*) FILTER (NOT out_of_domain AND NOT is_fallback) AS d FROM ({_RESULTS}))
 SELECT a AS ood_fallback, b AS ood_answered, c AS in_fallback, d AS in_answered, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 4) AS ood_fallback_rate, round(CASE WHEN c + d > 0 THEN c / (c + d) ELSE 0 END, 4) AS false_rejection_rate FROM c""",
     "group_summary": f"SELECT coalesce(source, 'unknown') AS grp, coalesce(error, 'none') AS reason, count(*) AS n, round(avg(faithfulness), 4) AS faithfulness FROM ({_RESULTS}) GROUP BY 1, 2",
-    "dataset_validation": """WITH q AS (SELECT doc_id // 2 + doc_id % 3 AS query_id, substring(text, 1, 30) AS query, doc_id FROM documents)
+    "dataset_validation": """WITH q AS (SELECT doc_id // 2 + doc_id % 3 AS query_id, text AS query, doc_id FROM documents)
 SELECT 'duplicate_id' AS problem, CAST(query_id AS VARCHAR) AS value FROM q GROUP BY query_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_query', query FROM q GROUP BY query HAVING count(*) > 1
 UNION ALL SELECT 'unknown_label', CAST(doc_id + 7 AS VARCHAR) FROM q WHERE doc_id + 7 NOT IN (SELECT doc_id FROM documents)""",
     "worst_examples": f"SELECT doc_id, error, is_fallback, faithfulness FROM ({_RESULTS}) ORDER BY CASE WHEN error IS NOT NULL THEN 0 WHEN is_fallback THEN 1 ELSE 2 END, coalesce(faithfulness, 1), doc_id LIMIT 5",
@@ -407,6 +404,7 @@ SELECT o.source_file, CASE WHEN g.source_file IS NOT NULL THEN 'deleted' ELSE o.
     "template_cross": """WITH t AS (SELECT n_name || '|' || r_name AS key, unnest(['how does ' || n_name || ' in ' || r_name || ' respond', 'which office of ' || n_name || ' in ' || r_name || ' decides']) AS query FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT key, query, CAST(row_number() OVER (ORDER BY md5(query), query) AS INTEGER) AS place FROM t""",
     "row_status": f"SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN is_fallback THEN 'partial' ELSE 'ok' END AS status, count(*) AS n FROM ({_RESULTS}) GROUP BY 1",
-    "agent_loop": "SELECT conv_id * 1000 + turn AS query_id, CAST(CASE length(text) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INTEGER) AS iteration, 'approved' AS critique FROM conversations WHERE role = 'user'",
+    "agent_loop": """WITH c AS (SELECT conv_id * 1000 + turn AS query_id, text, (length(text) + 2) % 3 AS i FROM conversations WHERE role = 'user')
+SELECT query_id, CAST(i + 1 AS INTEGER) AS iteration, 'approved' AS critique, md5(i || ' ' || array_to_string(list_reverse(string_split(text, '')), '')) AS digest FROM c""",
     "compact_text": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM conversations",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,9 +39,10 @@ def hyde_rule(s, d):
     return queries.hyde(queries.analyze(_mixed(s, d))).select("query_id", "content", "used", "reason")
 
 
-def source_file_filter(s, d, whole=False):
-    """Queries end with the first 40 characters of the benchmark texts, as in the SQL twin, or with the whole texts."""
-    q = C.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("see DOC_"), F.col("item_id").cast("string"), F.lit(".md and doc-"), (F.col("item_id") * 3).cast("string"), F.lit(": "), F.col("text") if whole else F.substring("text", 1, 40)).alias("query"))
+def source_file_filter(s, d):
+    """Questions that name files before and behind their text."""
+    item = lambda a, b, f=1: F.concat(F.lit(a), (F.col("item_id") * f).cast("string"), F.lit(b))
+    q = C.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(item("see DOC_", ".md and: "), "text", item(" or doc-", "", 3)).alias("query"))
     return queries.detect_file(q, C.files(s, d))
 
 
@@ -120,8 +119,6 @@ def point_ids(s, d):
 
 
 QUERIES = {f.__name__: f for f in (query_analyze, query_branches, hyde_rule, source_file_filter, filter_hints, domain_gate, sentence_split, token_counts, token_windows, line_classify, block_islands, normalize_markdown, page_blocks, page_chunks, chunk_documents, chunk_quality_report, duplicate_contents, point_ids)}
-#: The SQL twin takes the starts of texts alone, so this has none.
-QUERIES["source_file_filter_whole"] = partial(source_file_filter, whole=True)
 
 
 def _any(words: list[str], c: str = "q") -> str:
@@ -156,7 +153,7 @@ _DOCLINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generat
 
 ORACLE = {
     "query_analyze": f"WITH {_PLAN} SELECT query_id, q AS normalized_query, query_type, time_hint, rewrite_confidence, array_to_string(terms, '|') AS terms, use_rewrite, use_mmr, dense_top_k, sparse_top_k, rerank_top_k, max_branches FROM p",
-    "source_file_filter": r"""WITH q AS (SELECT item_id AS query_id, regexp_replace(lower('see DOC_' || item_id || '.md and doc-' || item_id * 3 || ': ' || substring(text, 1, 40)), '[\s\-_—–·•,，。；：:（）()《》“”"''`]+', '', 'g') AS q FROM benchmark),
+    "source_file_filter": r"""WITH q AS (SELECT item_id AS query_id, regexp_replace(lower('see DOC_' || item_id || '.md and: ' || text || ' or doc-' || item_id * 3), '[\s\-_—–·•,，。；：:（）()《》“”"''`]+', '', 'g') AS q FROM benchmark),
 f AS (SELECT 'doc_' || doc_id || '.md' AS source_file, 'doc' || doc_id AS stem FROM documents),
 h AS (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id ORDER BY length(source_file) DESC, source_file) AS n FROM q JOIN f ON contains(q, stem))
 SELECT query_id, source_file FROM h WHERE n = 1""",

@@ -1,4 +1,4 @@
-"""Readers and writers: Markdown folders, JSON and JSON lines, saved indexes."""
+"""Readers and writers: Markdown folders, JSON and JSON lines, pages."""
 
 from __future__ import annotations
 
@@ -44,17 +44,6 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def save_index(post: DataFrame, stats: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Postings sorted by term, so that a reader's term filter skips row groups; statistics beside them."""
-    part = post.repartitionByRange(buckets, "term") if buckets else post.repartitionByRange("term")
-    part.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
-
-
 def html_text(html: F.Column) -> F.Column:
     """Markdown-like text of a page: headings keep their level, other tags go."""
     t = F.regexp_replace(html, r"(?is)<(script|style|head|nav|footer)\b.*?</\1>", " ")
