@@ -35,7 +35,7 @@ from .common import Work
 #: Candidates of one block, queries of one round, and queries whose bounds are taken together.
 BLOCK, QUERIES, TOGETHER = 4096, 4096, 512
 #: Shares of the lists at which bounds are taken.
-DEPTHS = np.arange(1, 17) / 16
+DEPTHS = np.arange(1, 9) / 8
 
 
 def usable(vectors: DataFrame, scale: int = 1024) -> DataFrame:

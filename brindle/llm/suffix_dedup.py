@@ -12,11 +12,17 @@ other and share it form a *run*, so about one position in thirteen is sorted. Th
    in the same text is resolved too: it is the first copy. Only first copies whose half rank occurs in different texts go on.
 3. full: for each window of those, the pair of half ranks at offset 25, which is the rank of its 50 bytes.
 
-Ranks are 64- to 128-bit fingerprints, equal for equal strings. A rank travels as a few bytes in a packed block (one row for each
-pair of document block and rank bucket), sorted inside the bucket. Before a round ships anything, equal ranks of a block become one
-entry with the smallest doc_id, and the others are resolved on the spot: a passage in a third of all documents costs one entry a
-block, never one group. Documents are bucketed once by block into a table in the warehouse, so the rounds read texts without
-shuffling them again; answers travel as entry numbers.
+Ranks are fingerprints, equal for equal strings: what decides a removal has 96 bits (round 2) or 128 bits (round 3), and bytes are not
+compared again; among n different strings a false match has a chance of about n * n / 2**97, 4e-4 for the 8e12 runs of 100 TB. A rank
+travels as a few bytes in a packed block (one row for each pair of document block and rank bucket that meet), sorted inside the bucket. Before
+a round ships anything, equal ranks of a block become one entry with the smallest doc_id, and the others are resolved on the spot: a
+passage in a third of all documents costs one entry a block, never one group. Documents are bucketed once by block into an external
+table in the shared folder, so the rounds read texts without shuffling them again; answers travel as entry numbers. The result is
+written, and the table and all answers are dropped before it is returned.
+
+Blocks of documents grow with the table from 4 to 64 MB and rank buckets from 8 to 32 MB of text, so that a pair of them still shares
+many entries; table buckets hold several blocks where there would be more than MOST_BUCKETS. A block works on what it has alone, never on
+a list of all buckets.
 
 Defined cases: null text counts as empty; texts under 50 bytes lose nothing; rows that repeat a doc_id don't count as earlier
 documents for one another; matches never cross documents; very long texts are cut into overlapping pieces of a megabyte, in which
@@ -37,8 +43,10 @@ from pyspark.sql import functions as F
 from .common import U64, Work, mix, power_table, spread, text_bytes
 
 PIECE = 1_000_000
-#: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 4_000_000
+#: Bytes of text in a block of documents, about: the least and the most.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 4_000_000, 64_000_000
+#: Bytes of text whose ranks meet in one bucket, at most; buckets of the table, at most (Spark allows 100,000).
+RANK_BYTES, MOST_BUCKETS = 32_000_000, 65_536
 _R = 0x2545F4914F6CDD1D | 1
 _BYTE = mix(np.arange(1, 257, dtype=U64))
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -156,7 +164,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deal(rank: np.ndarray, buckets: int) -> np.ndarray:
-    return ((rank >> U64(44)) % U64(buckets)).astype(np.int64)
+    return ((rank >> U64(40)) % U64(buckets)).astype(np.int64)
 
 
 def _low40(rank: np.ndarray) -> np.ndarray:
@@ -186,18 +194,17 @@ class Rounds:
     def _numbers(self, kind: int, bucket_of: np.ndarray) -> np.ndarray:
         """Answers that name entries of a bucket by number, as numbers in the order in which the block has them."""
         order = np.argsort(bucket_of, kind="stable")
-        first = np.searchsorted(bucket_of[order], np.arange(self.buckets))
-        got = [order[first[k] + np.frombuffer(d, "<u4").astype(np.int64)] for k, v in self.replies.get(kind, {}).items() for d in v]
+        answered = self.replies.get(kind, {})
+        first = np.searchsorted(bucket_of[order], np.fromiter(answered, np.int64, len(answered)))
+        got = [order[at + np.frombuffer(d, "<u4").astype(np.int64)] for at, v in zip(first, answered.values(), strict=True) for d in v]
         return np.concatenate(got) if got else np.zeros(0, np.int64)
 
     def _ship(self, kind: int, bucket_of: np.ndarray, columns: list[np.ndarray]):
         """Rows by bucket; within a bucket the entries keep the block's order, so their numbers are known on both sides."""
         order = np.argsort(bucket_of, kind="stable")
-        edge = np.searchsorted(bucket_of[order], np.arange(self.buckets + 1))
-        for k in range(self.buckets):
-            rows = order[edge[k] : edge[k + 1]]
-            if len(rows):
-                yield k, kind, len(rows).to_bytes(4, "little") + b"".join(np.ascontiguousarray(c[rows]).tobytes() for c in columns)
+        met, edge = np.unique(bucket_of[order], return_index=True)
+        for k, rows in zip(met.tolist(), np.split(order, edge[1:]), strict=False):
+            yield k, kind, len(rows).to_bytes(4, "little") + b"".join(np.ascontiguousarray(c[rows]).tobytes() for c in columns)
 
     # round 1
     def halves(self):
@@ -353,16 +360,23 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = 50) -> DataFrame:
+def deal(total: int, block_bytes: int | None = None) -> tuple[int, int, int]:
+    """For so many bytes of text: blocks of documents, rank buckets, buckets of the table."""
+    size = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, total // 100_000))
+    blocks = max(64, math.ceil(total / size))
+    return blocks, max(64, math.ceil(total / min(2 * size, RANK_BYTES))), min(blocks, MOST_BUCKETS, max(64, math.ceil(total / BLOCK_BYTES)))
+
+
+def suffix_dedup(docs: DataFrame, threshold: int = 50, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (pairs of little-endian 64-bit byte offsets of what goes)."""
     spark, work = docs.sparkSession, Work(docs.sparkSession, "suffix")
     rows = spread(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(64, math.ceil(total / BLOCK_BYTES))
-    buckets = max(64, blocks // 2)
+    blocks, buckets, table_buckets = deal(total, block_bytes)
     name = f"brindle_suffix_{uuid.uuid4().hex[:12]}"
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    rows.withColumn("block", block).repartition(blocks, "block").write.option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(name)
+    table = rows.withColumn("block", block).repartition(table_buckets, "block").write.option("compression", "zstd").option("path", f"{work.base}/texts")
+    table.bucketBy(table_buckets, "block").saveAsTable(name)
     work.tables.append(name)
     work.free()
 
@@ -388,4 +402,9 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50) -> DataFrame:
             return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary())]).empty_table()
         return Rounds(left.select(["doc_id", "text"]), right, threshold, buckets).result()
 
-    return texts().cogroup(replies.groupBy("block")).applyInArrow(finish, RESULT)
+    result = work.keep(texts().cogroup(replies.groupBy("block")).applyInArrow(finish, RESULT), "result")
+    spark.sql(f"DROP TABLE {name}")
+    work.tables.remove(name)
+    for step in ("texts", "send1", "send2", "send3"):
+        work.drop(step)
+    return result
