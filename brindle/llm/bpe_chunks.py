@@ -3,9 +3,10 @@
 A rolling hash over the bytes cuts every text into chunks whose borders depend on nearby content alone, so texts
 that share a passage share its chunks wherever it stands. Each distinct chunk of a batch is encoded once and its ids
 reused. A cut may fall inside a pre-token; then the ids at the join are wrong. Every join is therefore repaired: the
-ids left of the last safe border before it and right of the first safe border after it are kept, the text between is
-encoded anew, and the window widens until both its edges are borders that the old and the new ids agree on. A border
-is safe where white space follows another character: no pre-token spans it and nothing to its left changes what follows.
+ids left of the last safe border before it and right of the first safe border after it are kept, and the text between is
+encoded anew together with the unit on either side. The window widens until both its edges are borders of ids and the new ids of the
+units beside it are those that are kept. A border is safe where white space follows another character: no pre-token spans it and
+nothing to its left changes what follows.
 
 Defined cases: null text counts as empty and gives no ids; ids of special tokens appear where the library puts them;
 repeated rows each give a row; an empty table gives an empty result; extra columns are ignored.
@@ -98,31 +99,27 @@ def encode_chunks(enc: Encoder, sizes: np.ndarray, texts: pa.Array) -> tuple[np.
         right = np.where((k < len(safe)) & (safe[np.minimum(k, len(safe) - 1)] < last), safe[np.minimum(k, len(safe) - 1)], last) if len(safe) else last
         left = np.where(len(safe) > 0, left, first)
         left, right = _merge(left, right)
-        for _ in range(64):  # widen windows whose edges are not borders of ids
+        while True:  # until every window's edges are borders of ids and what was encoded anew beyond them agrees with what is kept
             bad = (ends[np.searchsorted(ends, left)] != left) | (ends[np.searchsorted(ends, right)] != right)
             if not bad.any():
-                break
-            own = np.searchsorted(at, left, side="right") - 1
-            k = np.searchsorted(safe, left, side="left") - 1
-            left = np.where(bad, np.where((k >= 0) & (safe[k] > at[own]), safe[k], at[own]), left)
-            k = np.searchsorted(safe, right, side="right")
-            right = np.where(bad, np.where((k < len(safe)) & (safe[np.minimum(k, len(safe) - 1)] < at[own + 1]), safe[np.minimum(k, len(safe) - 1)], at[own + 1]), right)
-            left, right = _merge(left, right)
-        need = left < right
-        left, right = left[need], right[need]
+                lo, hi = _wider(left, right, at, safe)
+                lo, hi = (np.where(ends[np.searchsorted(ends, x)] == x, x, y) for x, y in ((lo, left), (hi, right)))
+                n_ids, n_at = _encode_windows(enc, data, lo, hi)
+                before, behind = (np.searchsorted(ends, y) - np.searchsorted(ends, x) for x, y in ((lo, left), (right, hi)))
+                fits = before + behind <= np.diff(n_at)
+                before, behind = np.where(fits, before, 0), np.where(fits, behind, 0)
+                bad = ~fits | _differ(ids, np.searchsorted(ends, lo), n_ids, n_at[:-1], before) | _differ(ids, np.searchsorted(ends, right), n_ids, n_at[1:] - behind, behind)
+                if not bad.any():
+                    break
+            more_left, more_right = _wider(left, right, at, safe)
+            left, right = _merge(np.where(bad, more_left, left), np.where(bad, more_right, right))
         if len(left):
-            edge = np.empty(2 * len(left), np.int64)
-            edge[0::2], edge[1::2] = left, right
-            whole = pa.Array.from_buffers(pa.large_string(), 2 * len(left) - 1, [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))]).take(pa.array(np.arange(0, 2 * len(left) - 1, 2)))
-            new = pc.dictionary_encode(whole.cast(pa.string()))
-            n_flat, n_starts = enc.column(new.dictionary)
-            n_ids, n_at = ragged(n_flat, n_starts, new.indices.to_numpy())
             a, b = np.searchsorted(ends, left), np.searchsorted(ends, right)
             # Kept ids and new ids in turn: kept up to a[0], new 0, kept b[0]..a[1], new 1, ...
             pool = np.concatenate([ids, n_ids])
             lo, hi = np.empty(2 * len(left) + 1, np.int64), np.empty(2 * len(left) + 1, np.int64)
             lo[0::2], hi[0::2] = np.concatenate([[0], b]), np.concatenate([a, [len(ids)]])
-            lo[1::2], hi[1::2] = len(ids) + n_at[:-1], len(ids) + n_at[1:]
+            lo[1::2], hi[1::2] = len(ids) + n_at[:-1] + before, len(ids) + n_at[1:] - behind
             size = hi - lo
             pos = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=pos[1:])
@@ -140,13 +137,48 @@ def encode_chunks(enc: Encoder, sizes: np.ndarray, texts: pa.Array) -> tuple[np.
 
 
 def _merge(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that touch or overlap become one; both arrays ascend."""
+    """Windows that touch or overlap become one, empty ones go; both arrays ascend."""
+    some = left < right
+    left, right = left[some], right[some]
     new = np.ones(len(left), bool)
-    new[1:] = left[1:] >= np.maximum.accumulate(right)[:-1]
+    new[1:] = left[1:] > np.maximum.accumulate(right)[:-1]
     k = np.flatnonzero(new)
     return left[k], np.maximum.reduceat(right, k) if len(k) else right
 
 
+def _wider(left: np.ndarray, right: np.ndarray, at: np.ndarray, safe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window up to the safe borders before and behind it, but not beyond its text."""
+    own = np.maximum(np.searchsorted(at, right, side="left") - 1, 0)
+    if not len(safe):
+        return at[own], at[own + 1]
+    k, j = np.searchsorted(safe, left, side="left") - 1, np.searchsorted(safe, right, side="right")
+    return np.where((k >= 0) & (safe[k] > at[own]), safe[k], at[own]), np.where((j < len(safe)) & (safe[np.minimum(j, len(safe) - 1)] < at[own + 1]), safe[np.minimum(j, len(safe) - 1)], at[own + 1])
+
+
+def _encode_windows(enc: Encoder, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of parts of the buffer, which may overlap; equal parts are encoded once."""
+    import pyarrow.compute as pc
+
+    flat, starts = ragged(data, *_ranges(lo, hi))
+    whole = pa.Array.from_buffers(pa.large_string(), len(lo), [None, pa.py_buffer(starts), pa.py_buffer(flat)]) if len(lo) else pa.array([], pa.large_string())
+    new = pc.dictionary_encode(whole.cast(pa.string()))
+    return ragged(*enc.column(new.dictionary), new.indices.to_numpy())
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges as lists for ``ragged``: borders of all ranges and gaps in turn, and the numbers of the ranges."""
+    edge = np.empty(2 * len(lo), np.int64)
+    edge[0::2], edge[1::2] = lo, hi
+    return edge, np.arange(0, 2 * len(lo), 2)
+
+
+def _differ(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the pairs of ranges of one size each hold different ids."""
+    x, _ = ragged(a, *_ranges(a_at, a_at + size))
+    y, _ = ragged(b, *_ranges(b_at, b_at + size))
+    return np.bincount(np.repeat(np.arange(len(size)), size)[x != y], minlength=len(size)) > 0
+
+
 def decoder(path: str) -> Decoder:
     """This process's decoder for a file."""
     if path not in _decoders:

@@ -25,7 +25,7 @@ many entries; table buckets hold several blocks where there would be more than M
 a list of all buckets.
 
 Defined cases: null text counts as empty; texts under 50 bytes lose nothing; rows that repeat a doc_id don't count as earlier
-documents for one another; matches never cross documents; very long texts are cut into overlapping pieces of a megabyte, in which
+documents for one another; matches never cross documents; very long texts are cut into overlapping pieces, in which
 every window is in one piece; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, Work, mix, power_table, spread, text_bytes
 
-PIECE = 1_000_000
+#: Bytes that are worked on together; small, so that their sums stay in a core's cache.
+PIECE = 100_000
 #: Bytes of text in a block of documents, about: the least and the most.
 BLOCK_BYTES, MOST_BLOCK_BYTES = 4_000_000, 64_000_000
 #: Bytes of text whose ranks meet in one bucket, at most; buckets of the table, at most (Spark allows 100,000).
@@ -125,7 +126,7 @@ class Block:
         if len(long):  # text that repeats itself: the same half rank over many windows, cut every w windows
             more = [np.arange(at[i] + w, end[i], w) for i in long]
             at = np.sort(np.concatenate([at, *more]))
-            stop = np.unique(np.concatenate([stop, *more]))
+            stop = np.sort(np.concatenate([stop, *more]))  # all different: the cuts lie inside runs
             end = np.append(stop, n)[np.searchsorted(stop, at, side="right")]
         count = end - at
         text = mix((total[at + count + m - 1] - total[at]) * inverse[at] + count.astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -152,15 +153,21 @@ class Block:
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts by the keys (first is most significant), and where each group starts in it."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = False
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
+    """An order in which equal keys stand together, and where each group starts in it."""
+    order = np.argsort(keys[0])
+    if len(order) < 2:
+        return order, np.arange(len(order))
+    k = keys[0][order]
+    new = k[1:] != k[:-1]
+    for other in keys[1:]:
+        o = other[order]
+        if (~new & (o[1:] != o[:-1])).any():  # one first key with several second ones, which a fingerprint hardly ever has
+            order = np.lexsort(keys[::-1])
+            new = np.zeros(len(order) - 1, bool)
+            for key in keys:
+                new |= key[order][1:] != key[order][:-1]
+            break
+    return order, np.flatnonzero(np.concatenate([[True], new]))
 
 
 def _deal(rank: np.ndarray, buckets: int) -> np.ndarray:
