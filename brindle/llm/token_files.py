@@ -2,9 +2,10 @@
 
 A 64-bit word holds a 4-bit selector and 60 bits of payload; the selector says how many ids of which width
 follow (table below), lowest bits first. Selector 0 is the escape: the next word is one raw 64-bit value, so every
-unsigned 64-bit value can be stored. Ids are packed in blocks of BLOCK_IDS; a document's ids may span blocks. Each row of a
-file is a group of blocks: the words, and where each block starts in them, so that any block is decoded
-on its own, all blocks at once with array operations.
+unsigned 64-bit value can be stored. Ids are packed in blocks of BLOCK_IDS; a document's ids may span blocks. A file is a Parquet
+part; each of its rows is a group of blocks: a binary column with the words (little-endian), and where each block starts in
+them. Reading goes through these offsets: all blocks of a row are decoded side by side with array operations, or only those that
+hold a range of ids.
 
 Files are written by Spark in ascending doc_id order (range partitions, sorted within), one part for each range, with
 the running start of every document; they can be read by any reader that Spark has. Starts come from a sum over the parts,
@@ -98,15 +99,18 @@ def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack(words: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """All values of whole blocks; at: where blocks start, needed only to start inside the words."""
+    """All values; at: where blocks start in the words (one block, if not given). Blocks are decoded side by side."""
     n = len(words)
+    at = np.array([0, n]) if at is None else at
     sel = (words >> U64(60)).astype(np.int64)
     raw = np.zeros(n, bool)
-    esc = np.flatnonzero(sel == 0)
-    if len(esc):  # a word after an escape is raw and may look like an escape itself
-        for i in esc:
-            if not raw[i]:
-                raw[i + 1] = True
+    if (sel == 0).any():  # a word after an escape is raw and may look like an escape itself: every block is walked from its start, all at once
+        now, stop = at[:-1].copy(), at[1:]
+        while len(now):
+            escape = sel[now] == 0
+            raw[now[escape] + 1] = True
+            now = now + 1 + escape
+            now, stop = now[now < stop], stop[now < stop]
     count = np.where(raw, 0, COUNTS[sel])
     start = np.zeros(n + 1, np.int64)
     np.cumsum(count, out=start[1:])
@@ -124,6 +128,14 @@ def unpack(words: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+def unpack_range(words: np.ndarray, at: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Values start to stop: only the blocks that hold them are decoded."""
+    a, b = start // BLOCK_IDS, min(-(-stop // BLOCK_IDS), len(at) - 1)
+    if start >= stop or a >= b:
+        return np.zeros(0, U64)
+    return unpack(words[at[a] : at[b]], at[a : b + 1] - at[a])[start - a * BLOCK_IDS : stop - a * BLOCK_IDS]
+
+
 FILE = "part int, before long, doc_ids array<long>, sizes array<long>, words binary, block_at array<long>"
 #: Bytes of text that go into one row of a file.
 ROW_BYTES = 4_000_000
@@ -174,7 +186,8 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                ids = unpack(np.frombuffer(batch["words"][i].as_buffer(), "<u8").astype(U64)).astype("<u4")
+                words, blocks = np.frombuffer(batch["words"][i].as_buffer(), "<u8").astype(U64, copy=False), batch["block_at"][i].values.to_numpy()
+                ids = unpack(words, blocks).astype("<u4")
                 sizes = np.array(batch["sizes"][i].values.to_numpy(), np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 raw = memoryview(ids.tobytes())
@@ -186,7 +199,7 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
     spark = files.sparkSession
     starts = spark.createDataFrame(list(base.items()) or [(-1, 0)], "part int, base long")  # one row for each file: bounded by their number
-    placed = files.drop("block_at").join(F.broadcast(starts), "part").withColumn("before", F.col("base") + F.col("before"))
+    placed = files.join(F.broadcast(starts), "part").withColumn("before", F.col("base") + F.col("before"))
     return placed.mapInArrow(run, READ + (", ids array<long>" if with_ids else "")).drop("part")
 
 
