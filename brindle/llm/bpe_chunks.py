@@ -98,7 +98,7 @@ def encode_chunks(enc: Encoder, sizes: np.ndarray, texts: pa.Array) -> tuple[np.
         k = np.searchsorted(safe, joins, side="left")
         right = np.where((k < len(safe)) & (safe[np.minimum(k, len(safe) - 1)] < last), safe[np.minimum(k, len(safe) - 1)], last) if len(safe) else last
         left = np.where(len(safe) > 0, left, first)
-        left, right = _merge(left, right)
+        left, right = _merge(left, right, at)
         while True:  # until every window's edges are borders of ids and what was encoded anew beyond them agrees with what is kept
             bad = (ends[np.searchsorted(ends, left)] != left) | (ends[np.searchsorted(ends, right)] != right)
             if not bad.any():
@@ -112,7 +112,7 @@ def encode_chunks(enc: Encoder, sizes: np.ndarray, texts: pa.Array) -> tuple[np.
                 if not bad.any():
                     break
             more_left, more_right = _wider(left, right, at, safe)
-            left, right = _merge(np.where(bad, more_left, left), np.where(bad, more_right, right))
+            left, right = _merge(np.where(bad, more_left, left), np.where(bad, more_right, right), at)
         if len(left):
             a, b = np.searchsorted(ends, left), np.searchsorted(ends, right)
             # Kept ids and new ids in turn: kept up to a[0], new 0, kept b[0]..a[1], new 1, ...
@@ -136,12 +136,12 @@ def encode_chunks(enc: Encoder, sizes: np.ndarray, texts: pa.Array) -> tuple[np.
     return ids, starts, n_chunks, n_new
 
 
-def _merge(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that touch or overlap become one, empty ones go; both arrays ascend."""
+def _merge(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a text that touch or overlap become one, empty ones go; both arrays ascend."""
     some = left < right
     left, right = left[some], right[some]
     new = np.ones(len(left), bool)
-    new[1:] = left[1:] > np.maximum.accumulate(right)[:-1]
+    new[1:] = (left[1:] > np.maximum.accumulate(right)[:-1]) | (at[np.searchsorted(at, left[1:])] == left[1:])
     k = np.flatnonzero(new)
     return left[k], np.maximum.reduceat(right, k) if len(k) else right
 
