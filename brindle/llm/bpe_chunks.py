@@ -141,7 +141,8 @@ def _merge(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     some = left < right
     left, right = left[some], right[some]
     new = np.ones(len(left), bool)
-    new[1:] = (left[1:] > np.maximum.accumulate(right)[:-1]) | (at[np.searchsorted(at, left[1:])] == left[1:])
+    reach = np.maximum.accumulate(right)[:-1]
+    new[1:] = (left[1:] > reach) | (left[1:] == reach) & (at[np.searchsorted(at, left[1:])] == left[1:])
     k = np.flatnonzero(new)
     return left[k], np.maximum.reduceat(right, k) if len(k) else right
 
