@@ -1,7 +1,7 @@
 """Personal data in plain and in disguise, with spans in the source text.
 
 Plain detection takes the leftmost non-overlapping matches of four patterns, a failing match being dropped. Then a transducer
-rewrites the text where it may be disguised, keeping for every character of its output the source span it came from:
+rewrites the text where it may be disguised. It is four transducers in a row, each of which keeps the source span of every replacement:
 
 * homoglyphs and full-width forms become the ASCII character they look like; zero-width characters vanish;
 * spelled digits (English, German, French, Spanish) become digits, in a row of at least four anywhere and in shorter rows beside
@@ -10,7 +10,7 @@ rewrites the text where it may be disguised, keeping for every character of its
   address can stand: a bare word counts only inside ``name at host dot domain``, where the dot may be a plain one; a bare *at*
   with plain dots alone needs a last part of two letters or more, so that ``rose at 3.5`` stays.
 
-The same detectors run on the output; a find is mapped back to the span of source characters, and kept if the transducer
+The same detectors run on the output; a find is mapped back through the transducers to the span of source characters, and kept if the transducer
 changed something inside it and it does not lie inside a plain find of its kind. Plain finds always stay, so a find with a
 disguised part stands beside the plain find of its other part; redact joins the two.
 
@@ -27,11 +27,11 @@ import hashlib
 import re
 import string
 import unicodedata
+from bisect import bisect_right
 from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import ship, spread
 
@@ -72,14 +72,15 @@ _BEFORE, _AFTER = re.compile(rf"(?i)(?:[0-9]{_BESIDE}|\+[ (]{{0,2}})$"), re.comp
 _PLUS_GAP = re.compile("[ (,-]{1,2}(?=[0-9])")
 _GAP = re.compile(rf"(?i){_BESIDE}")
 _AT, _DOT = "at|arroba|ät", "dot|punkt|point|punto"
-_NAME, _PART = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
-_B_AT = rf"\s*[\(\[\{{<]\s*(?:{_AT}|@)\s*[\)\]\}}>]\s*"
-_B_DOT = rf"\s*[\(\[\{{<]\s*(?:{_DOT}|\.)\s*[\)\]\}}>]\s*"
-_ANY_AT, _ANY_DOT = rf"(?:@|{_B_AT}|\s+(?:{_AT})\s+)", rf"(?:\.|{_B_DOT}|\s+(?:{_DOT})\s+)"
-_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME})*?{_ANY_AT}{_PART}(?:{_ANY_DOT}{_PART})+")
+_NAME, _PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"), r"[A-Za-z0-9-]+"
+_B_AT = rf"[\(\[\{{<]\s*(?:{_AT}|@)\s*[\)\]\}}>]\s*"
+_B_DOT = rf"[\(\[\{{<]\s*(?:{_DOT}|\.)\s*[\)\]\}}>]\s*"
+#: What can stand between the parts of an address: plain signs, bracketed signs or words, bare words in white space. White space is taken whole.
+_SEPARATOR = re.compile(rf"(?i)(?P<at>@)|(?P<dot>\.)|(?<!\s)\s*+(?:(?P<b_at>{_B_AT})|(?P<b_dot>{_B_DOT}))|(?<!\s)\s++(?:(?P<w_at>{_AT})|(?P<w_dot>{_DOT}))\s+")
+_ANY_DOT = rf"(?:\.|\s*+{_B_DOT}|\s++(?:{_DOT})\s+)"
 _QUAD = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
-_AT_IN = re.compile(rf"(?i){_B_AT}|\s+(?:{_AT})\s+")
-_DOT_IN = re.compile(rf"(?i){_B_DOT}|\s+(?:{_DOT})\s+")
+_DOT_IN = re.compile(rf"(?i)\s*+{_B_DOT}|\s++(?:{_DOT})\s+")
+_PART_START = re.compile(_PART)
 _ODD = re.compile("[\u0131\u00ad\u0261\u0370-\U0010ffff]")
 _DOT_WORD = re.compile(rf"(?i)(?<!\w)(?:{_DOT})(?!\w)|[\(\[\{{<]\s*(?:@|\.|(?:{_AT})\s*[\)\]\}}>])")
 #: A word for *at* where an address can stand without a word for *dot*.
@@ -89,8 +90,6 @@ _TELLING = frozenset(DIGIT_WORDS) - {"un", "oh", "null", "plus"}
 _ANY_DIGIT = frozenset(DIGIT_WORDS)
 _SPACED = str.maketrans(string.punctuation, " " * len(string.punctuation))
 _AT_DOT = ("dot", "punkt", "point", "punto", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "{@", "<@", "(.", "[.", "{.", "<.", "arroba", "ät")
-#: Around a word for *dot* an address can reach so far.
-_REACH = 320
 
 
 def _luhn(digits: str) -> bool:
@@ -158,94 +157,159 @@ def _short_runs(text: str) -> list[re.Match]:
     return [m for m, ok in zip(runs, near, strict=True) if ok]
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
-    """The rewritten text; for each of its characters the source start and end, and whether it was changed. None: nothing to rewrite."""
-    odd = not text.isascii() and _ODD.search(text) is not None
-    if not odd:  # cheap signs first: enough digit words, a word for at or dot
-        low = text.lower()
-        words = low.translate(_SPACED).split()
-        spelled = not _ANY_DIGIT.isdisjoint(words) and (not _TELLING.isdisjoint(words) and _RUN.search(text) is not None or _DIGITS.search(text) is not None and bool(_short_runs(text)))
-        if not spelled and (not any(x in low for x in _AT_DOT) or _DOT_WORD.search(text) is None) and _AT_WORD.search(text) is None:
-            return None
-    out, start, end, new = list(text), list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
-    if odd:
-        rows = []
-        for i, c in enumerate(text):
-            if c in INVISIBLE:
-                continue
-            d = HOMOGLYPHS.get(c)
-            if d is None and not c.isascii() and c.isdecimal():
-                d = str(unicodedata.decimal(c))
-            elif d is None and ord(c) > 0x2000:
-                wide = unicodedata.normalize("NFKC", c)
-                d = wide if len(wide) == 1 and wide.isascii() else None
-            rows.append((d or c, i, i + 1, d is not None))
-        out, start, end, new = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-
-    def replace(spans: list[tuple[int, int, str]]) -> None:
-        nonlocal out, start, end, new
-        o, s, e, w, at = [], [], [], [], 0
+class Edits:
+    """One transducer's work: the rewritten text, and the source span of each of its replacements; all other characters are copied."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int, str]]):
+        parts, at, size = [], 0, 0
+        self.lo, self.hi, self.source_lo, self.source_hi = [], [], [], []
         for a, b, to in spans:
-            o += out[at:a] + list(to)
-            s += start[at:a] + [start[a]] * len(to)
-            e += end[at:a] + [end[b - 1]] * len(to)
-            w += new[at:a] + [True] * len(to)
+            parts += [text[at:a], to]
+            size += a - at
+            self.lo.append(size)
+            size += len(to)
+            self.hi.append(size)
+            self.source_lo.append(a)
+            self.source_hi.append(b)
             at = b
-        out, start, end, new = o + out[at:], s + start[at:], e + end[at:], w + new[at:]
+        self.text = "".join([*parts, text[at:]])
+
+    def back(self, a: int, b: int) -> tuple[int, int, bool]:
+        """The source span of a span of the output, and whether a replacement stands in it."""
+        i, j = bisect_right(self.lo, a) - 1, bisect_right(self.lo, b - 1) - 1
+        inside = i >= 0 and a < self.hi[i]
+        start = self.source_lo[i] if inside else a + (self.source_hi[i] - self.hi[i] if i >= 0 else 0)
+        end = self.source_hi[j] if j >= 0 and b - 1 < self.hi[j] else b + (self.source_hi[j] - self.hi[j] if j >= 0 else 0)
+        return start, end, inside or j > i
+
+
+def _look_alikes(text: str) -> list[tuple[int, int, str]]:
+    """Characters that stand for ASCII ones, digits of other scripts, and characters without width."""
+    to = {}
+    for c in set(_ODD.findall(text)):
+        d = "" if c in INVISIBLE else HOMOGLYPHS.get(c)
+        if d is None and c.isdecimal():
+            d = str(unicodedata.decimal(c))
+        elif d is None and ord(c) > 0x2000:
+            wide = unicodedata.normalize("NFKC", c)
+            d = wide if len(wide) == 1 and wide.isascii() else None
+        if d is not None:
+            to[c] = d
+    if not to:
+        return []
+    return [(m.start(), m.end(), to[m[0]]) for m in re.finditer("[" + re.escape("".join(to)) + "]", text)]
+
 
-    joined = "".join(out)
+def _spelled_rows(text: str) -> list[tuple[int, int, str]]:
     spans = []
-    for m in _RUN.finditer(joined):
-        for d in _RUN_PART.finditer(joined, m.start(), m.end()):
+    for m in _RUN.finditer(text):
+        for d in _RUN_PART.finditer(text, m.start(), m.end()):
             word = d[1].lower()
             spans.append((d.start(), min(d.end(), m.end()), DIGIT_WORDS.get(word) or _STOP.get(word, word)))
-    if spans:
-        replace(spans)
-        joined = "".join(out)
+    return spans
+
+
+def _spelled_beside_digits(text: str) -> list[tuple[int, int, str]]:
     spans = []
-    for m in _short_runs(joined):
-        for d in _SHORT_PART.finditer(joined, m.start(), m.end()):
+    for m in _short_runs(text):
+        for d in _SHORT_PART.finditer(text, m.start(), m.end()):
             word, e = d[1].lower(), min(d.end(), m.end())
-            if word == "plus" and (gap := _PLUS_GAP.match(joined, e)):
+            if word == "plus" and (gap := _PLUS_GAP.match(text, e)):
                 e = gap.end()
             spans.append((d.start(), e, DIGIT_WORDS.get(word, word)))
-    if spans:
-        replace(spans)
-        joined = "".join(out)
-    spans, seen = [], 0
-    triggers = sorted([(m.start(), m.end(), False) for m in _DOT_WORD.finditer(joined)] + [(m.start(), m.end(), True) for m in _AT_WORD.finditer(joined)])
-    for a, b, alone in triggers:
-        lo, hi = max(seen, a - _REACH), min(len(joined), b + _REACH)
-        for m in _ADDRESS.finditer(joined, lo, hi):
-            at = list(_AT_IN.finditer(joined, m.start(), m.end()))
-            dots = list(_DOT_IN.finditer(joined, m.start(), m.end()))
-            if not at and "@" not in m[0] or m.start() < seen or alone and not m.start() <= a < m.end():
-                continue
-            spans += sorted([(x.start(), x.end(), "@") for x in at[:1]] + [(x.start(), x.end(), ".") for x in dots if not at or x.end() <= at[0].start() or x.start() >= at[0].end()])
-            seen = m.end()
-        for m in _QUAD.finditer(joined, max(seen, lo), hi):
-            dots = [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(joined, m.start(), m.end())]
-            if dots and m.start() >= seen:
-                spans += dots
-                seen = m.end()
-    if spans:
-        replace(spans)
-    return "".join(out), start, end, new
+    return spans
+
+
+def _signs(text: str) -> list[tuple[int, int, str]]:
+    """Disguised at and dot signs of addresses and of numbers with four parts.
+
+    Separators are found in one pass. From each *at* the address goes left over names and dots and right over host parts and dots, as long as
+    nothing else stands between two separators; each separator is met a fixed number of times, so the work is linear in the text.
+    """
+    if _DOT_WORD.search(text) is None and _AT_WORD.search(text) is None:
+        return []
+    spans, seps = [], [(m.start(), m.end(), m.lastgroup) for m in _SEPARATOR.finditer(text)]
+    telling = {m.start() for m in _AT_WORD.finditer(text)}
+    done, free = 0, 0  # where the last address ends, and the first separator behind it
+    for k, (a, b, kind) in enumerate(seps):
+        if not kind.endswith("at") or k < free:
+            continue
+        # Leftwards: the farthest name from which names and dots alone lead here.
+        first, start, i, edge = None, a, k, a
+        while True:
+            while start > done and text[start - 1] in _NAME:
+                start -= 1
+            if start == edge:
+                break
+            if start == 0 or text[start - 1] != "." or start == done:
+                first = start, i
+            if i - 1 < free or seps[i - 1][1] != start or not seps[i - 1][2].endswith("dot"):
+                break
+            i -= 1
+            start = edge = seps[i][0]
+        # Rightwards: host parts and dots.
+        part, j, end = _PART_START.match(text, b), k + 1, None
+        while part is not None and j < len(seps) and seps[j][0] == part.end() and seps[j][2].endswith("dot"):
+            part = _PART_START.match(text, seps[j][1])
+            if part is not None:
+                end, j = part.end(), j + 1
+        if first is None or end is None:
+            continue
+        used = seps[first[1] : j]
+        bare = kind == "w_at" and not any(x[2] in ("b_dot", "w_dot") for x in used)
+        if bare and not any(p in telling for p in range(a, b)):
+            continue
+        spans += [(x, y, "@" if z.endswith("at") else ".") for x, y, z in used if z not in ("at", "dot")]
+        done, free = end, j
+    taken = [(x, y) for x, y, _ in spans]
+    for m in _QUAD.finditer(text):
+        dots = [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(text, m.start(), m.end())]
+        i = bisect_right(taken, (m.end(), 0))
+        if dots and not (i and taken[i - 1][1] > m.start()):
+            spans += dots
+    return sorted(spans)
+
+
+def normalise(text: str) -> list[Edits]:
+    """The transducers' work, each on the output of the one before; empty: nothing to rewrite."""
+    stages = []
+
+    def step(spans: list[tuple[int, int, str]]) -> None:
+        nonlocal text
+        if spans:
+            stages.append(Edits(text, spans))
+            text = stages[-1].text
+
+    if not text.isascii():
+        step(_look_alikes(text))
+    if not stages:  # cheap signs first: enough digit words, a word for at or dot
+        low = text.lower()
+        words = low.translate(_SPACED).split()
+        spelled = not _ANY_DIGIT.isdisjoint(words) and (not _TELLING.isdisjoint(words) and _RUN.search(text) is not None or _DIGITS.search(text) is not None and bool(_short_runs(text)))
+        if not spelled and not any(x in low for x in _AT_DOT) and _AT_WORD.search(text) is None:
+            return []
+    step(_spelled_rows(text))
+    step(_spelled_beside_digits(text))
+    step(_signs(text))
+    return stages
 
 
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Plain finds, and the finds that only the rewritten text shows, as source spans; both by kind."""
     base = detect(text)
     extra: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    got = normalise(text)
-    if got is not None:
-        plain, start, end, new = got
-        for kind, spans in detect(plain).items():
+    stages = normalise(text)
+    if stages:
+        for kind, spans in detect(stages[-1].text).items():
+            plain = sorted(base[kind])
             for a, b in spans:
-                s, e = start[a], end[b - 1]
-                if any(new[a:b]) or e - s != b - a:
-                    if not any(x <= s and e <= y for x, y in base[kind]):
-                        extra[kind].append((s, e))
+                s, e, new = a, b, False
+                for stage in reversed(stages):
+                    s, e, here = stage.back(s, e)
+                    new |= here
+                i = bisect_right(plain, (s, len(text) + 1)) - 1  # plain finds don't overlap: only the last that starts here or before can hold it
+                if (new or e - s != b - a) and not (i >= 0 and e <= plain[i][1]):
+                    extra[kind].append((s, e))
     return base, extra
 
 
@@ -306,4 +370,4 @@ def redact_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-__all__ = ["F", "detect", "find", "normalise", "pii_spans", "redact", "redact_texts"]
+__all__ = ["detect", "find", "normalise", "pii_spans", "redact", "redact_texts"]
