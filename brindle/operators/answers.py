@@ -144,3 +144,14 @@ def refine_loop(rows: DataFrame, propose: Callable[[DataFrame], DataFrame], crit
         done = final if done is None else done.unionByName(final, allowMissingColumns=True)
         active = active.filter(~over)
     return done
+
+
+def trace(answers: DataFrame, hits: DataFrame, branches: DataFrame, gate: DataFrame) -> DataFrame:
+    """query_id and what led to its answer: branches asked and matched (in order of the ranked hits), the hits themselves, the gate, and the decision."""
+    row = F.struct("rank", "chunk_id", F.coalesce("rerank_score", "dense_score", "fusion_score").alias("score"), "rerank_score", "dense_score", "fusion_score", "mmr_score", "matched_branches")
+    ranked = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("results"))
+    asked = branches.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("branch_ord", "branch", "query", "weight"))), lambda b: F.struct(b["branch"].alias("branch"), b["query"].alias("query"), b["weight"].alias("weight"))).alias("branches"))
+    out = answers.join(ranked, "query_id", "left").join(asked, "query_id", "left").join(gate.select("query_id", F.col("signals").alias("gate_signals"), F.col("reason").alias("gate_reason")), "query_id", "left")
+    matched = F.array_distinct(F.flatten(F.transform("results", lambda r: r["matched_branches"])))
+    decision = F.when(F.col("is_fallback"), "fallback").otherwise("answered")
+    return out.select("query_id", decision.alias("answer_decision"), "fallback_reason", F.coalesce(F.size("results"), F.lit(0)).alias("result_count"), "evidence_count", F.coalesce(matched, F.array().cast("array<string>")).alias("matched_branches"), "branches", "results", "decision", "gate_signals", "gate_reason")

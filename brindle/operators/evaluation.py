@@ -89,17 +89,153 @@ def judged(facts: Column) -> dict[str, Column]:
     }
 
 
-def answer_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rates over answered queries; quality means leave out fallbacks; accuracy counts labelled rows alone."""
-    ratio = lambda c, when=None: F.round(F.coalesce(F.avg((c if when is None else F.when(when, c)).cast("double")) if when is None else F.avg(F.when(when, c.cast("double"))), F.lit(0.0)), 4)
+QUALITY = ("faithfulness", "answer_relevancy", "citation_correctness", "citation_completeness")
+
+
+def _ratio(c: Column, when: Column | None = None) -> Column:
+    """Share of rows for which c holds (null does not), of those that ``when`` admits; 0 for none."""
+    c = F.coalesce(c.cast("double"), F.lit(0.0))
+    return F.round(F.coalesce(F.avg(c if when is None else F.when(when, c)), F.lit(0.0)), 4)
+
+
+def answer_summary(rows: DataFrame, keys: list[str], mode: str | None = None) -> DataFrame:
+    """Rates over answered queries; quality means leave out fallbacks; accuracy counts labelled rows alone. mode: rows of one composer.
+
+    rows: error, is_fallback, expected_fallback, latency_ms, and as far as there: judged, all_citations_mapped, fallback_reason, composer_mode and QUALITY.
+    """
+    rows = rows if mode is None else rows.filter(F.col("composer_mode") == mode)
+    has = set(rows.columns)
     good = ~F.col("is_fallback")
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("query_count"), ratio(F.col("error").isNull()).alias("success_rate"), ratio(F.col("is_fallback")).alias("fallback_rate"),
+    judged_ = F.col("judged") if "judged" in has else F.col("faithfulness").isNotNull()
+    cols = [
+        F.count("*").alias("query_count"), _ratio(F.col("error").isNull()).alias("success_rate"), _ratio(F.col("is_fallback")).alias("fallback_rate"),
         F.round(F.avg(F.when(F.col("expected_fallback").isNotNull(), (F.col("expected_fallback") == F.col("is_fallback")).cast("double"))), 4).alias("fallback_accuracy"),
-        ratio(F.col("faithfulness").isNotNull(), good).alias("judge_coverage"), F.round(F.avg(F.when(good, F.col("faithfulness"))), 4).alias("faithfulness"), *latency("latency_ms"),
+        _ratio(judged_, good).alias("judge_coverage"), *[F.round(F.avg(F.when(good, F.col(c))), 4).alias(c) for c in QUALITY if c in has], *latency("latency_ms"),
+    ]
+    if "all_citations_mapped" in has:
+        cols.append(_ratio(F.col("all_citations_mapped")).alias("all_citations_mapped_ratio"))
+    if "fallback_reason" in has:
+        given = F.coalesce(F.col("fallback_reason"), F.lit("")) != ""
+        cols.append(_ratio(given == F.coalesce("is_fallback", F.lit(False))).alias("fallback_reason_consistency"))
+    return rows.groupBy(*keys).agg(*cols)
+
+
+def run_summary(rows: DataFrame, asked: int | None = None) -> DataFrame:
+    """One row over a run: counts by status, success, answer and fallback rate, unknown citations, answers of a language model.
+
+    asked: how many queries were put, if not as many as there are rows.
+    """
+    status = lambda x: F.count_if(F.col("status") == x).alias(f"{x}_count")
+    n = F.count("*")
+    return rows.agg(
+        (n if asked is None else F.lit(asked).cast("long")).alias("query_count"), n.alias("row_count"), status("ok"), status("partial"), status("error"), _ratio(F.col("status") == "ok").alias("run_success_rate"),
+        _ratio(~F.coalesce("is_fallback", F.lit(False))).alias("answer_rate"), _ratio(F.col("is_fallback")).alias("fallback_rate"),
+        F.coalesce(F.sum(F.size(F.coalesce("unknown_ids", F.array().cast("array<string>")))), F.lit(0)).alias("unknown_citation_count"), F.count_if(F.col("composer_mode") == "chat").alias("chat_count"),
     )
 
 
+def reason_histogram(rows: DataFrame) -> DataFrame:
+    """fallback_reason, n: of the rows that fell back."""
+    reason = F.coalesce(F.when(F.col("fallback_reason") != "", F.col("fallback_reason")), F.lit("missing_reason"))
+    return rows.filter("is_fallback").groupBy(reason.alias("fallback_reason")).agg(F.count("*").alias("n"))
+
+
+def expected_fallback(regression_decision: Column, labelled: Column, *kinds: Column) -> Column:
+    """A regression set's decision, else the label, else true for queries outside the domain, else unknown."""
+    said = F.when(regression_decision.isin("answered", "fallback"), regression_decision == "fallback")
+    outside = F.lit(False)
+    for k in kinds:
+        outside = outside | F.coalesce(k == "out_of_domain", F.lit(False))
+    return F.coalesce(said, labelled, F.when(outside, True))
+
+
+def decision_metrics(rows: DataFrame) -> DataFrame:
+    """One row: expected_fallback against is_fallback; rows without a label count as inside unless they are of an outside kind. A rate without rows is null."""
+    want, fall = F.col("expected_fallback"), F.coalesce("is_fallback", F.lit(False))
+    out = F.coalesce(want, F.lit(False))
+    inside = F.coalesce(~want, F.coalesce(F.col("kind") != "out_of_domain", F.lit(True)))
+    counts = rows.agg(F.count_if(out & fall).alias("ood_fallback"), F.count_if(out & ~fall).alias("ood_answered"), F.count_if(inside & fall).alias("in_domain_fallback"), F.count_if(inside & ~fall).alias("in_domain_answered"))
+    rate = lambda x, y: F.round(F.when(F.col(x) + F.col(y) > 0, F.col(x) / (F.col(x) + F.col(y))), 4)
+    return counts.withColumns({"ood_false_accept_rate": rate("ood_answered", "ood_fallback"), "in_domain_false_rejection_rate": rate("in_domain_fallback", "in_domain_answered")})
+
+
+def base_rows(queries: DataFrame) -> DataFrame:
+    """A result row's query side: all its columns, with expected_fallback resolved. queries: regression_decision, expected_fallback, query_type, disaster_type."""
+    return queries.withColumn("expected_fallback", expected_fallback(F.col("regression_decision"), F.col("expected_fallback"), F.col("query_type"), F.col("disaster_type"))).drop("regression_decision")
+
+
+def variant_rows(runs: DataFrame, base: str, k: int = 10) -> DataFrame:
+    """runs: query_id, variant, doc_rank, chunk_rank (null or over k: missed). Adds hits, reciprocal ranks, and the shift of each rank against the base variant
+    (a miss stands at k + 1; null if both missed; below zero is better)."""
+    own = W.partitionBy("query_id")
+    out = runs
+    for c in ("doc", "chunk"):
+        rank = F.when(F.col(f"{c}_rank") <= k, F.col(f"{c}_rank"))
+        before = F.max(F.when(F.col("variant") == base, rank)).over(own)
+        shift = F.when(rank.isNotNull() | before.isNotNull(), F.coalesce(rank, F.lit(k + 1)) - F.coalesce(before, F.lit(k + 1)))
+        out = out.withColumns({f"{c}_shift": shift, f"{c}_hit": rank.isNotNull(), f"{c}_mrr": F.coalesce(1.0 / rank, F.lit(0.0))})
+    return out
+
+
+def variant_summary(rows: DataFrame, base: str, guardrail: bool = False) -> DataFrame:
+    """One row for each variant over variant_rows (with latency_ms, packed, token_ratio, and branches, hyde_used, fallback as far as there): recall, mrr, means,
+    deltas against the base variant, and with guardrail whether neither recall is below the base's (null for the base)."""
+    mean = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)), 4)
+    more = [mean(c).alias(n) for c, n in (("branches", "avg_branch_count"), ("hyde_used", "hyde_used_ratio")) if c in rows.columns]
+    more += [F.count_if(F.col("fallback")).alias("fallback_count")] if "fallback" in rows.columns else []
+    out = rows.groupBy("variant").agg(
+        F.count("*").alias("query_count"), mean("doc_hit").alias("doc_recall"), mean("chunk_hit").alias("chunk_recall"), mean("doc_mrr").alias("doc_mrr"), mean("chunk_mrr").alias("chunk_mrr"),
+        mean("packed").alias("packed_nonempty_ratio"), mean("token_ratio").alias("avg_packed_token_ratio"), F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
+        mean("doc_shift").alias("avg_doc_rank_shift"), mean("chunk_shift").alias("avg_chunk_rank_shift"), *more,
+    )
+    first = out.filter(F.col("variant") == base).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(f"_{c}") for c in ("doc_mrr", "chunk_mrr", "doc_recall", "chunk_recall")])
+    out = out.join(F.broadcast(first))  # one row
+    out = out.withColumns({f"{c}_delta": F.round(F.col(c) - F.col(f"_{c}"), 4) for c in ("doc_mrr", "chunk_mrr")})
+    if guardrail:
+        out = out.withColumn("no_regression", F.when(F.col("variant") != base, (F.col("doc_recall") >= F.col("_doc_recall")) & (F.col("chunk_recall") >= F.col("_chunk_recall"))))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def arm_summary(runs: DataFrame, arms: tuple[str, ...] = ("dense", "sparse", "hybrid"), k: int = 10) -> DataFrame:
+    """One row over variant_rows of three searchers: document and exact chunk recall of each arm, and the gain of the last over the first."""
+    means = [F.round(F.coalesce(F.avg(F.when(F.col("variant") == a, F.col(f"{c}_hit").cast("double"))), F.lit(0.0)), 4).alias(f"{a}_{c}_recall_{k}") for a in arms for c in ("doc", "chunk")]
+    hits = lambda a: F.avg(F.when(F.col("variant") == a, F.col("doc_hit").cast("double")))
+    return runs.agg(F.countDistinct("query_id").alias("query_count"), *means, F.round(hits(arms[-1]) - hits(arms[0]), 4).alias("doc_recall_gain"))
+
+
+def pick_examples(runs: DataFrame, better: str, worse: str, most: int = 3) -> DataFrame:
+    """Up to ``most`` queries that one arm answers and the other misses, the last ids first."""
+    hit = lambda a: F.max(F.when(F.col("variant") == a, F.col("doc_hit"))).alias(a)
+    pairs = runs.groupBy("query_id").agg(hit(better), hit(worse))
+    return pairs.filter(F.col(better) & ~F.coalesce(F.col(worse), F.lit(False))).orderBy(F.desc("query_id")).limit(most).select("query_id")
+
+
+def group_counts_match(df: DataFrame, group: str, expected: dict[str, int]) -> DataFrame:
+    """grp, n, expected, ok: every group of either side; a group that only one side has is a mismatch."""
+    want = df.sparkSession.createDataFrame(sorted(expected.items()), "grp string, expected long")
+    have = df.groupBy(F.col(group).cast("string").alias("grp")).agg(F.count("*").alias("n"))
+    out = have.join(want, "grp", "full_outer").select("grp", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return out.withColumn("ok", F.col("n") == F.col("expected"))
+
+
+def group_summary(rows: DataFrame, group: str, reason: str = "error", value: str = "faithfulness") -> DataFrame:
+    """grp, reason, n, mean value: rows without a group are unknown, rows without a reason have none."""
+    return rows.groupBy(F.coalesce(group, F.lit("unknown")).alias("grp"), F.coalesce(reason, F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias(value))
+
+
+def worst_examples(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """Errors first, then fallbacks, then the least faithful."""
+    order = [F.when(F.col("error").isNotNull(), 0).when(F.col("is_fallback"), 1).otherwise(2), F.coalesce("faithfulness", F.lit(1.0)), F.col(key)]
+    return rows.orderBy(*order).limit(most)
+
+
+def hit_rates(runs: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """One row: of runs (query_id, ranked, relevant), the shares of queries with a relevant result among the first k that is not the query itself."""
+    others = F.filter("ranked", lambda x: x != F.col("query_id"))
+    hit = lambda k: F.exists(F.slice(others, 1, k), lambda x: F.array_contains("relevant", x)).cast("double")
+    return runs.agg(F.count("*").alias("queries"), *[F.round(F.avg(hit(k)), 4).alias(f"hit_{k}") for k in ks])
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """One row: outside and inside questions by fallback or answer, and the rates."""
     out, fall = F.col("out_of_domain"), F.col("is_fallback")

@@ -100,5 +100,11 @@ def mmr(candidates: DataFrame, vectors: DataFrame, k: int = 10, weight: float =
     return pool.select("query_id", "chunk_id", "rank", F.col("relevance").cast("double").alias("relevance"), "vector").groupBy("query_id").applyInPandas(run, f"query_id {qtype}, chunk_id {ctype}, mmr_score double, rank int")
 
 
+def first_as_mmr(candidates: DataFrame, k: int) -> DataFrame:
+    """A stand-in for mmr in quick runs: the first k by rank with score 1 / rank."""
+    out = ranked(candidates.withColumnRenamed("rank", "_old"), [F.col("_old"), F.col("chunk_id")], k).drop("_old")
+    return out.withColumns({"mmr_score": F.round(1.0 / F.col("rank"), 6), "stage4_rank": F.col("rank")})
+
+
 def candidate_depth(top: int, rerank_top: int, mmr_pre: int) -> int:
     return max(top, rerank_top, mmr_pre)

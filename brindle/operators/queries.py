@@ -89,7 +89,7 @@ def hyde(plans: DataFrame, mode: str = "rule", content: str = "") -> DataFrame:
     long = F.concat(a, hazard, b, terms, c)
     text = {"rule": F.when(F.col("query_type") == "ambiguous", short).otherwise(long), "fake": F.lit(content), "disabled": F.lit("")}[mode]
     use = allowed if mode != "disabled" else F.lit(False)
-    reason = F.lit("disabled") if mode == "disabled" else F.when(allowed, f"{mode}_hyde").otherwise(F.concat(F.lit("query_type_"), F.col("query_type"), F.lit("_not_allowed")))
+    reason = F.lit("disabled") if mode == "disabled" else F.when(allowed, "rule_based_hyde" if mode == "rule" else f"{mode}_hyde").otherwise(F.concat(F.lit("query_type_"), F.col("query_type"), F.lit("_not_allowed")))
     return plans.select("query_id", F.when(use, F.substring(squeeze(text), 1, 220)).otherwise("").alias("content"), use.alias("used"), reason.alias("reason"))
 
 

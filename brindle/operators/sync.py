@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def change_set(snapshot: DataFrame, registry: DataFrame) -> DataFrame:
+def change_set(snapshot: DataFrame, registry: DataFrame, only: list[str] | None = None) -> DataFrame:
     """source_file, content_hash, change_type: added, modified, unchanged or deleted, by one full outer join on the file name.
 
-    Only active registry rows count, so a deleted file that comes back is added.
+    Only active registry rows count, so a deleted file that comes back is added. only: changes of these files alone, cut before the join.
     """
+    if only is not None:
+        snapshot, registry = (t.filter(F.col("source_file").isin(only)) for t in (snapshot, registry))
     old = registry.filter("status = 'active'").select("source_file", F.col("content_hash").alias("old_hash"))
     both = snapshot.select("source_file", F.col("content_hash").alias("new_hash")).join(old, "source_file", "full_outer")
     kind = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "modified").otherwise("unchanged")

@@ -135,8 +135,7 @@ def decision_confusion(s, d):
 
 
 def group_summary(s, d):
-    t = _results(s, d)
-    return t.groupBy(F.coalesce("source", F.lit("unknown")).alias("grp"), F.coalesce("error", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg("faithfulness"), 4).alias("faithfulness"))
+    return evaluation.group_summary(_results(s, d), "source")
 
 
 def dataset_validation(s, d):
@@ -145,8 +144,7 @@ def dataset_validation(s, d):
 
 
 def worst_examples(s, d):
-    order = [F.when(F.col("error").isNotNull(), 0).when(F.col("is_fallback"), 1).otherwise(2), F.coalesce("faithfulness", F.lit(1.0)), F.col("doc_id")]
-    return _results(s, d).orderBy(*order).limit(5).select("doc_id", "error", "is_fallback", "faithfulness")
+    return evaluation.worst_examples(_results(s, d), "doc_id").select("doc_id", "error", "is_fallback", "faithfulness")
 
 
 def judge_ratios(s, d):
@@ -161,9 +159,9 @@ def acceptance_gate(s, d):
 
 
 def metric_delta(s, d):
-    t = _results(s, d).groupBy("is_fallback").agg(F.avg("faithfulness").alias("faithfulness"), F.avg("latency_ms").alias("latency_ms"))
-    long = t.unpivot(["is_fallback"], ["faithfulness", "latency_ms"], "metric", "value")
-    return long.groupBy("metric").agg(F.round(F.max(F.when(F.col("is_fallback"), F.col("value"))) - F.max(F.when(~F.col("is_fallback"), F.col("value"))), 4).alias("delta"))
+    one = lambda t: t.agg(F.avg("faithfulness").alias("faithfulness"), F.avg("latency_ms").alias("latency_ms"))
+    t = _results(s, d)
+    return selection.compare_summaries(one(t.filter("not is_fallback")), one(t.filter("is_fallback")), ["faithfulness", "latency_ms"]).select("metric", "delta")
 
 
 def _snapshots(s, d):
@@ -214,16 +212,14 @@ def stratified_sample(s, d):
 
 
 def template_cross(s, d):
-    """Templates filled with every region and nation: a product of two fixed lists."""
-    t = C.table(s, d, "nation").join(C.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    made = t.select(F.explode(F.array(*[F.lit(x) for x in ("how does %s in %s respond", "which office of %s in %s decides")])).alias("t"), "n_name", "r_name").select(F.format_string("%s|%s", "n_name", "r_name").alias("key"), F.expr("replace(regexp_replace(t, '^(.*?)%s', concat('$1', n_name)), '%s', r_name)").alias("query"))
-    return made.distinct().withColumn("place", F.row_number().over(W.orderBy(F.md5("query"), "query")))
+    """Templates filled with every nation and its region."""
+    t = C.table(s, d, "nation").join(C.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    made = selection.template_queries(["how does {nation} in {region} respond", "which office of {nation} in {region} decides"], t)
+    return made.select(F.concat_ws("|", "nation", "region").alias("key"), "query", "place")
 
 
 def hit_rate_summary(s, d):
-    runs = _label_runs(s, d)
-    hit = lambda k: F.exists(F.slice(F.filter("ranked", lambda x: x != F.col("query_id")), 1, k), lambda x: F.array_contains("relevant", x)).cast("double")
-    return runs.agg(F.count("*").alias("queries"), F.round(F.avg(hit(1)), 4).alias("hit_1"), F.round(F.avg(hit(5)), 4).alias("hit_5"))
+    return evaluation.hit_rates(_label_runs(s, d))
 
 
 def row_status(s, d):
@@ -271,7 +267,7 @@ def quota_selection(s, d):
 
 
 def balanced_selection(s, d):
-    return selection.balanced(C.table(s, d, "documents").select("doc_id", "source"), "source", [F.col("doc_id")], 30)
+    return selection.balanced(C.table(s, d, "documents").select("doc_id", "source", "lang"), ("source", "lang"), "doc_id", 30)
 
 
 def plain_chunks(s, d):
@@ -349,7 +345,16 @@ _LIST = "array_to_string({}, ',')"
 
 ORACLE = {
     "quota_selection": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) SELECT doc_id, lang FROM r WHERE n <= CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END",
-    "balanced_selection": "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) SELECT doc_id, source FROM r ORDER BY n, source LIMIT 30",
+    "balanced_selection": """WITH RECURSIVE g AS (SELECT 0 AS n, CAST(NULL AS BIGINT) AS doc_id, CAST([] AS BIGINT[]) AS taken
+  UNION ALL SELECT n + 1, p.doc_id, list_append(taken, p.doc_id) FROM g, LATERAL (SELECT d.doc_id FROM documents d LEFT JOIN (SELECT source, lang, count(*) AS c FROM documents WHERE list_contains(g.taken, doc_id) GROUP BY ALL) t ON true
+    WHERE NOT list_contains(g.taken, d.doc_id) GROUP BY d.doc_id, d.source, d.lang
+    ORDER BY coalesce(sum(c) FILTER (t.source = d.source), 0) + coalesce(sum(c) FILTER (t.lang = d.lang), 0), coalesce(sum(c) FILTER (t.source = d.source), 0), coalesce(sum(c) FILTER (t.lang = d.lang), 0), d.doc_id LIMIT 1) p WHERE n < 30)
+SELECT doc_id, source, lang FROM g JOIN documents USING (doc_id)""",
+    "plain_chunks": r"""WITH RECURSIVE b AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(text, '<[^>]+>|[#*_`>|]', '', 'g'), '\s+', '', 'g'), '[^！？。；]+[！？。；]?|[！？。；]') AS p FROM documents),
+f AS (SELECT doc_id, p, 1 AS i, CASE WHEN len(p) > 0 THEN 1 ELSE 0 END AS n, coalesce(length(p[1]), 0) AS now, coalesce(length(p[1]), 0) AS longest FROM b
+  UNION ALL SELECT doc_id, p, i + 1, CASE WHEN now + length(p[i + 1]) > 250 THEN n + 1 ELSE n END, CASE WHEN now + length(p[i + 1]) > 250 THEN length(p[i + 1]) ELSE now + length(p[i + 1]) END,
+    greatest(longest, CASE WHEN now + length(p[i + 1]) > 250 THEN length(p[i + 1]) ELSE now + length(p[i + 1]) END) FROM f WHERE i < len(p))
+SELECT doc_id, CAST(max(n) AS INTEGER) AS n, CAST(max(longest) AS INTEGER) AS longest FROM f GROUP BY doc_id""",
     "category_rules": "SELECT doc_id, CASE WHEN contains(text, '!!') THEN 'loud' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'mail' ELSE 'other' END AS category FROM documents",
     "context_neighbors": f"WITH {_LINES} SELECT query_id, chunk_id, round(fs, 6) AS fusion_score, round(fs, 6) AS sort_score FROM expanded",
     "context_islands": f"WITH {_LINES} SELECT query_id, source_file, section_path_text, indexes, md5(content) AS digest, token_count, round(fs, 6) AS sort_score FROM merged",

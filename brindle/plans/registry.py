@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, retrieval, understanding
+from . import answering, evaluating, retrieval, understanding
 
-QUERIES = retrieval.QUERIES | understanding.QUERIES | answering.QUERIES
-ORACLE = retrieval.ORACLE | understanding.ORACLE | answering.ORACLE
+QUERIES = retrieval.QUERIES | understanding.QUERIES | answering.QUERIES | evaluating.QUERIES
+ORACLE = retrieval.ORACLE | understanding.ORACLE | answering.ORACLE | evaluating.ORACLE

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from brindle.operators import dense, fusion, sparse
+from brindle.operators import dense, fusion, selection, sparse
 
 from . import corpus as C
 
@@ -122,7 +121,9 @@ def collection_info(s, d):
 
 
 def width_check(s, d):
-    return dense.width_violations(C.vectors(s, d), 64).select("chunk_id")
+    """Vectors whose label is odd lose their last component, so they are what is found."""
+    v = C.vectors(s, d).withColumn("vector", F.when(F.col("label") % 2 == 1, F.slice("vector", 1, 63)).otherwise(F.col("vector")))
+    return dense.width_violations(v, 64).select("chunk_id")
 
 
 def payload_projection(s, d):
@@ -132,15 +133,18 @@ def payload_projection(s, d):
 
 def file_catalog(s, d):
     """Different sections in order of first appearance."""
-    w = W.orderBy("first_doc")
-    firsts = C.chunks(s, d).groupBy("section_path_text").agg(F.min("doc_id").alias("first_doc"))
-    return firsts.withColumn("place", F.row_number().over(w))  # as many rows as there are sections
+    return selection.catalog(C.chunks(s, d), "section_path_text", "doc_id").select("section_path_text", F.col("first").alias("first_doc"), "place")
+
+
+def first_as_mmr(s, d):
+    hits = sparse.bm25_topk(C.questions(s, d), C.index(s, d), 10)
+    return fusion.first_as_mmr(hits, 5).select("query_id", "chunk_id", "mmr_score", "rank", "stage4_rank")
 
 
 QUERIES = {
     "bm25_postings": bm25_postings, "bm25_stats": bm25_stats, "bm25_topk": bm25_topk, "bm25_topk_filtered": bm25_topk_filtered, "bm25_matched_terms": bm25_matched_terms,
     "dense_topk_cosine": _dense("cosine"), "dense_topk_dot": _dense("dot"), "dense_topk_l2": _dense("l2"), "dense_topk_filtered": dense_topk_filtered,
-    "hybrid_rrf": hybrid_rrf, "branch_weighted_rrf": branch_weighted_rrf, "fake_rerank": fake_rerank, "final_slice": final_slice, "mmr_select": mmr_select,
+    "hybrid_rrf": hybrid_rrf, "branch_weighted_rrf": branch_weighted_rrf, "fake_rerank": fake_rerank, "final_slice": final_slice, "mmr_select": mmr_select, "first_as_mmr": first_as_mmr,
     "vector_upsert": vector_upsert, "vector_delete": vector_delete, "collection_info": collection_info, "width_check": width_check, "payload_projection": payload_projection, "file_catalog": file_catalog,
 }
 
@@ -179,11 +183,27 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_sc
 SELECT query_id, chunk_id, rerank_score, rank, rank AS stage4_rank FROM r""",
     "final_slice": f"""WITH {ALL}, r AS (SELECT query_id, chunk_id, rank AS old, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS INTEGER) AS rank FROM bm25 WHERE rank BETWEEN 3 AND 10)
 SELECT query_id, chunk_id, rank, CASE WHEN old % 2 = 0 THEN rank END AS stage4_rank FROM r WHERE rank <= 5""",
+    "first_as_mmr": f"WITH {ALL} SELECT query_id, chunk_id, round(1.0::DOUBLE / rank, 6) AS mmr_score, rank, rank AS stage4_rank FROM bm25 WHERE rank <= 5",
+    "mmr_select": """WITH RECURSIVE vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, """
+    + COSINE
+    + """ AS raw FROM vecs q, vecs c WHERE q.vec_id % 100 = 0),
+top AS (SELECT query_id, chunk_id, CAST(round(raw, 6) AS FLOAT) AS rel, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) AS pos FROM pairs QUALIFY pos <= 20),
+cand AS (SELECT query_id, chunk_id, pos, CASE WHEN max(rel) OVER w = min(rel) OVER w THEN CAST(1 AS FLOAT) ELSE (rel - min(rel) OVER w) / (max(rel) OVER w - min(rel) OVER w) END AS rel FROM top WINDOW w AS (PARTITION BY query_id)),
+sims AS (SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, least(1, greatest(-1, """
+    + COSINE
+    + """)) AS sim FROM cand a JOIN cand b USING (query_id) JOIN vecs q ON q.vec_id = a.chunk_id JOIN vecs c ON c.vec_id = b.chunk_id),
+g AS (SELECT query_id, chunk_id, pos, rel, CAST(NULL AS DOUBLE) AS near, 0 AS step, CAST(NULL AS BIGINT) AS best, CAST(NULL AS DOUBLE) AS mmr_score FROM cand
+  UNION ALL SELECT n.query_id, n.chunk_id, n.pos, n.rel, greatest(coalesce(n.near, -2), s.sim), n.step + 1, n.best, n.score FROM (
+    SELECT g.query_id, chunk_id, pos, rel, near, step, first_value(chunk_id) OVER w AS best, first_value(CASE WHEN near IS NULL THEN CAST(rel AS DOUBLE) ELSE CAST(CAST(0.7 AS FLOAT) * rel AS DOUBLE) - 0.30000000000000004::DOUBLE * near END) OVER w AS score
+    FROM g WHERE step < 10 AND chunk_id IS DISTINCT FROM g.best
+    WINDOW w AS (PARTITION BY g.query_id ORDER BY CASE WHEN near IS NULL THEN CAST(rel AS DOUBLE) ELSE CAST(CAST(0.7 AS FLOAT) * rel AS DOUBLE) - 0.30000000000000004::DOUBLE * near END DESC, rel DESC, pos)) n JOIN sims s ON s.query_id = n.query_id AND s.x = n.chunk_id AND s.y = n.best)
+SELECT DISTINCT query_id, best AS chunk_id, round(mmr_score, 6) AS mmr_score, CAST(step AS INTEGER) AS rank FROM g WHERE step > 0""",
     "vector_upsert": """SELECT vec_id AS chunk_id, CASE WHEN vec_id < 50 THEN 200 WHEN label = 1 THEN 100 ELSE label END AS label FROM embeddings
 UNION ALL SELECT vec_id + 10000000, label FROM embeddings WHERE vec_id < 20""",
     "vector_delete": "SELECT vec_id AS chunk_id, label FROM embeddings WHERE label <> 2",
     "collection_info": "SELECT count(*) AS points, CAST(min(len(embedding)) AS INTEGER) AS min_width, CAST(max(len(embedding)) AS INTEGER) AS max_width FROM embeddings",
-    "width_check": "SELECT vec_id AS chunk_id FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64",
+    "width_check": "SELECT vec_id AS chunk_id FROM embeddings WHERE embedding IS NULL OR label % 2 = 1 OR len(embedding) <> 64",
     "payload_projection": f"SELECT chunk_id, source_file, 0 AS chunk_index, coalesce(section_path_text, '') AS section_path_text, substring(content, 1, 160) AS content_preview, sha256(content) AS content_hash, true AS is_active FROM ({CHUNKS})",
     "file_catalog": "SELECT source AS section_path_text, min(doc_id) AS first_doc, CAST(row_number() OVER (ORDER BY min(doc_id)) AS INTEGER) AS place FROM documents GROUP BY source",
 }
