@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from brindle.functions import lexicons as L
 from brindle.operators import answers, context, evaluation, models, pipeline, selection, sparse, sync
 from brindle.operators import dense as dn
 from brindle.operators import queries as qu
@@ -316,6 +317,11 @@ _HITS = (
 hits AS (SELECT query_id, chunk_id, rank, round(1 / (60.0::DOUBLE + rank), 6) AS fusion_score, CASE WHEN rank % 3 <> 0 THEN round(score / 100, 6) END AS dense_score, CASE WHEN rank % 4 = 0 THEN round(score / 50, 6) END AS rerank_score FROM bm25 WHERE rank <= 8)"""
 )
 _STATE = "CASE WHEN {0} IS NULL THEN 'confidence_unavailable' WHEN {0} < 0.2 THEN 'low_confidence' WHEN {0} < 0.5 THEN 'uncertain' ELSE 'retrieval_confident' END"
+_EVIDENCE = """
+e AS (SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY coalesce(rerank_score, fusion_score) DESC, rank, h.chunk_id) AS pos, coalesce(rerank_score, dense_score) AS conf, coalesce(rerank_score, dense_score, 0) AS score, source_file, section_path_text,
+  trim(regexp_replace(content, '\\s+', ' ', 'g')) AS text FROM hits h JOIN chunks c USING (chunk_id))"""
+_has = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w.lower()}')" for w in words) + ")"
+_TERMS = " + ".join(f"CAST(contains(x, '{w}') AS INTEGER)" for w in L.POLICY_TERMS)
 _RUNS = (
     DENSE.format(score=COSINE, more="", order="DESC")
     + """,
@@ -412,4 +418,18 @@ SELECT key, query, CAST(row_number() OVER (ORDER BY md5(query), query) AS INTEGE
     "agent_loop": """WITH c AS (SELECT conv_id * 1000 + turn AS query_id, text, (length(text) + 2) % 3 AS i FROM conversations WHERE role = 'user')
 SELECT query_id, CAST(i + 1 AS INTEGER) AS iteration, 'approved' AS critique, md5(i || ' ' || array_to_string(list_reverse(string_split(text, '')), '')) AS digest FROM c""",
     "compact_text": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM conversations",
+    "template_answer": f"""WITH {_HITS}, {_EVIDENCE},
+s AS (SELECT *, list_filter(string_split(regexp_replace(text, '([。！？；;])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM e WHERE pos <= 4),
+k AS (SELECT *, list_sort(list_transform(parts, lambda x, i: {{'a': {_TERMS}, 'b': least(length(x), 220), 'i': -i, 's': x}}), 'DESC')[1].s AS best FROM s),
+t AS (SELECT query_id, pos, score, source_file, section_path_text, CASE WHEN text = '' THEN '{L.EMPTY_SNIPPET}' WHEN length(best) <= 180 THEN best ELSE regexp_replace(substring(best, 1, 179), '[，,；;。 ]+$', '') || '……' END AS sentence FROM k),
+q AS (SELECT item_id AS query_id, CASE WHEN {_has(L.ASK_SOURCE)} THEN {L.LABELS_SOURCE!r} WHEN {_has(L.ASK_WHO)} THEN {L.LABELS_WHO!r} ELSE {L.LABELS!r} END AS labels FROM benchmark),
+a AS (SELECT query_id, count(t.pos) AS n, CASE WHEN max(score) < 0.3 THEN '{L.LOW_HEADER}' ELSE '{L.HEADER}' END AS header, string_agg(pos || '. ' || labels[pos] || '：' || sentence || '[S' || pos || ']', chr(10) ORDER BY pos) AS body,
+  string_agg('[S' || pos || '] ' || source_file || CASE WHEN section_path_text <> '' THEN ' / ' || section_path_text ELSE '' END, chr(10) ORDER BY pos) AS tail FROM q LEFT JOIN t USING (query_id) GROUP BY query_id)
+SELECT query_id, md5(CASE WHEN n = 0 THEN '{L.NO_ANSWER}' ELSE concat_ws(chr(10), header, '', body, '', '{L.SOURCES}', tail) END) AS digest, CAST(n AS INTEGER) AS n FROM a""",
+    "answer_batch": f"""WITH {_HITS}, {_EVIDENCE},
+g AS (SELECT q.item_id AS query_id, q.text, count(e.query_id) AS evidence_count, max(conf) AS max_score FROM benchmark q LEFT JOIN e ON e.query_id = q.item_id GROUP BY q.item_id, q.text),
+d AS (SELECT *, CASE WHEN {_has(L.DOMAIN)} OR {" OR ".join(f"regexp_matches(text, '{x}')" for x in L.DOMAIN_PATTERNS)} THEN 'in_domain' WHEN {_has(L.OUTSIDE)} THEN 'out_of_domain' ELSE 'uncertain' END AS decision,
+  list_filter([CASE WHEN evidence_count < 1 THEN 'insufficient_evidence' END, CASE WHEN max_score < 0.3 THEN 'low_retrieval_score' END], lambda x: x IS NOT NULL) AS why FROM g),
+r AS (SELECT *, CASE WHEN decision = 'out_of_domain' THEN 'out_of_domain' WHEN len(why) > 0 THEN array_to_string(why, ';') END AS reason FROM d)
+SELECT query_id, reason IS NOT NULL AS is_fallback, reason AS fallback_reason, decision, evidence_count, {_STATE.format("max_score")} AS confidence_state FROM r""",
 }

@@ -147,6 +147,13 @@ p AS (SELECT *, query_type IN ('scenario', 'multi_hop', 'ambiguous') AS use_rewr
 # An ordered distinct: keep an element if it stands nowhere before.
 _PLAN = _PLAN.replace("(lambda_once(list_filter(", "list_filter(list_filter(").replace("lambda x: x IS NOT NULL)) AS terms", "lambda x: x IS NOT NULL), lambda x, i: true) AS terms")
 
+_KEY = r"lower(regexp_replace({0}, '[\p{{P}}\p{{Z}}\s]', '', 'g'))"
+
+
+def _inside(table: dict[str, list[str]]) -> str:
+    return " || ".join(f"CASE WHEN contains(q, '{k}') THEN {v!r} ELSE CAST([] AS VARCHAR[]) END" for k, v in table.items())
+
+
 _CONV = "SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'"
 _SPLIT = "list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？；;.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 _DOCLINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
@@ -178,4 +185,15 @@ SELECT doc_id, CAST(island AS BIGINT) AS island, any_value(kind) AS kind, CAST(m
 SELECT count(*) AS total_chunks, count(DISTINCT stem) AS source_files, CAST(max(n) AS INTEGER) AS max_tokens, round(avg(n), 4) AS avg_tokens, count(*) FILTER (n > 448) AS over_limit, CAST(0 AS BIGINT) AS missing_path, count(*) - count(DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g')) AS duplicates FROM c""",
     "duplicate_contents": r"SELECT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "normalize_markdown": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t\x{a0}]+', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
+    "hyde_rule": f"""WITH {_PLAN}, h AS (SELECT *, query_type IN ('scenario', 'ambiguous') AND time_hint IS NULL AND NOT {_any(L.EXACT_MARKERS)} AS ok, CASE WHEN len(terms) > 0 THEN array_to_string(terms[1:4], '、') ELSE '{L.HYDE_TERMS}' END AS t FROM p)
+SELECT query_id, CASE WHEN ok THEN substring(CASE query_type WHEN 'ambiguous' THEN '{L.HYDE_REGION}{L.HYDE_SHORT[0]}{L.HYDE_HAZARD}{L.HYDE_SHORT[1]}' || t || '{L.HYDE_SHORT[2]}' ELSE '{L.HYDE_LONG[0]}{L.HYDE_HAZARD}{L.HYDE_LONG[1]}' || t || '{L.HYDE_LONG[2]}' END, 1, 220) ELSE '' END AS content,
+ok AS used, CASE WHEN ok THEN 'rule_based_hyde' ELSE 'query_type_' || query_type || '_not_allowed' END AS reason FROM h""",
+    "query_branches": rf"""WITH {_PLAN}, e AS (SELECT *, {_KEY.format("q")} AS qk, {_KEY.format("query")} AS rk, [q] || {_inside(L.SUBJECT_MORE)} || {_inside(L.INTENT_MORE)} || CASE query_type {" ".join(f"WHEN '{k}' THEN {v!r}" for k, v in L.TYPE_MORE.items())} ELSE CAST([] AS VARCHAR[]) END AS more FROM p),
+x AS (SELECT *, substring(array_to_string(list_filter(more, lambda w, i: list_position(list_transform(more, lambda y: lower(y)), lower(w)) = i), ' '), 1, 220) AS expanded, substring(trim(regexp_replace(query, '\s+', ' ', 'g')), 1, 220) AS raw, substring(q, 1, 220) AS normal FROM e),
+b AS (SELECT query_id, 0 AS o, 'raw' AS branch, raw AS text, 1.0::DOUBLE AS weight, max_branches, raw, normal FROM x UNION ALL SELECT query_id, 1, 'normalized', normal, 0.9::DOUBLE, max_branches, raw, NULL FROM x WHERE q <> '' AND qk <> rk
+  UNION ALL SELECT query_id, 2, 'expanded', expanded, 0.7::DOUBLE, max_branches, raw, normal FROM x WHERE query_type NOT IN ('keyword', 'exact_fact') AND use_rewrite AND (query_type <> 'ambiguous' OR rewrite_confidence >= 0.4) AND query <> ''),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM b WHERE text <> '' AND (o = 0 OR lower(text) <> lower(raw)))
+SELECT query_id, branch, text AS query, weight FROM u WHERE place <= greatest(1, max_branches)""",
+    "point_ids": """WITH c AS (SELECT 'doc_' || doc_id || '.md::0' AS chunk_id FROM documents), h AS (SELECT chunk_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id)) AS h FROM c)
+SELECT chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[CAST('0x' || h[17:17] AS INTEGER) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
 }
