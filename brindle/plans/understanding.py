@@ -12,10 +12,6 @@ from brindle.sources.files import html_text
 
 from . import corpus as C
 
-#: Words of the synthetic languages that stand for a domain's signs and for signs against it.
-INSIDE, OUTSIDE = ["nder", "tionque"], ["verbe", "ciónes"]
-
-
 def _conversations(s, d):
     return C.table(s, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
@@ -46,12 +42,20 @@ def source_file_filter(s, d):
     return queries.detect_file(q, C.files(s, d))
 
 
+#: What the questions of the two queries below start with, by their id: signs of the domain, signs against it, and none.
+LEADS = ["河南省 暴雨 预案 ", "北京 地震 通知 ", "", "报告 规划 台风 深圳 ", "云南 山洪 Ⅱ级响应 ", "糖尿病 ", "第3条 transformer ", "防灾 防灾 办法 "]
+
+
+def _led(q, n):
+    return q.select("query_id", F.concat(F.element_at(F.array(*[F.lit(x) for x in LEADS]), (n % len(LEADS) + 1).cast("int")), "query").alias("query"))
+
+
 def filter_hints(s, d):
-    return queries.filter_hints(_mixed(s, d).withColumn("query", F.concat(F.lit("河南 暴雨 "), "query")))
+    return queries.filter_hints(_led(C.questions(s, d), F.col("query_id")))
 
 
 def domain_gate(s, d):
-    out = queries.domain_gate(_conversations(s, d), inside=INSIDE, outside=OUTSIDE, patterns=[])
+    out = queries.domain_gate(_led(_conversations(s, d), F.length("query")))
     return out.select("query_id", "decision", F.array_join("signals", "|").alias("signals"), "reason")
 
 
@@ -74,14 +78,8 @@ def line_classify(s, d):
     return t.select("doc_id", T.line_type(F.col("line")).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-def block_islands(s, d):
-    """Lines of a document grouped into runs that start with the same letter case."""
-    t = C.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = W.partitionBy("doc_id").orderBy("pos")
-    kind = F.when(F.substring("line", 1, 1).rlike("[A-Z]"), "upper").otherwise("other")
-    t = t.withColumn("kind", kind).withColumn("new", (F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != F.col("kind"))).cast("int"))
-    t = t.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return t.groupBy("doc_id", "island").agg(F.first("kind").alias("kind"), F.min("pos").alias("first_line"), F.max("pos").alias("last_line"), F.sum(F.length("line")).alias("n_chars"))
+def document_blocks(s, d):
+    return _shown(chunking.blocks(C.files(s, d)))
 
 
 def normalize_markdown(s, d):
@@ -92,9 +90,12 @@ def _pages(s, d):
     return C.table(s, d, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".md")).alias("source_file"), html_text(F.col("html")).alias("text"))
 
 
+def _shown(out):
+    return out.select("source_file", "start_line", "end_line", "block_type", F.array_join("section_path", " > ").alias("path"), "heading_level", "is_indexable", F.md5("text").alias("digest"))
+
+
 def page_blocks(s, d):
-    out = chunking.blocks(_pages(s, d))
-    return out.select("source_file", "start_line", "end_line", "block_type", F.array_join("section_path", " > ").alias("path"), "is_indexable", F.md5("text").alias("digest"))
+    return _shown(chunking.blocks(_pages(s, d)))
 
 
 def page_chunks(s, d):
@@ -118,13 +119,17 @@ def point_ids(s, d):
     return C.chunks(s, d).select("chunk_id", T.uuid5("chunk_id").alias("point_id"))
 
 
-QUERIES = {f.__name__: f for f in (query_analyze, query_branches, hyde_rule, source_file_filter, filter_hints, domain_gate, sentence_split, token_counts, token_windows, line_classify, block_islands, normalize_markdown, page_blocks, page_chunks, chunk_documents, chunk_quality_report, duplicate_contents, point_ids)}
+QUERIES = {f.__name__: f for f in (query_analyze, query_branches, hyde_rule, source_file_filter, filter_hints, domain_gate, sentence_split, token_counts, token_windows, line_classify, document_blocks, normalize_markdown, page_blocks, page_chunks, chunk_documents, chunk_quality_report, duplicate_contents, point_ids)}
 
 
 def _any(words: list[str], c: str = "q") -> str:
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
+def _first(words: list[str], c: str = "q") -> str:
+    return "CASE " + " ".join(f"WHEN contains({c}, '{w}') THEN '{w}'" for w in words) + " END"
+
+
 def _count(words: list[str], c: str = "q") -> str:
     return "(" + " + ".join(f"CAST(contains({c}, '{w}') AS INTEGER)" for w in words) + ")"
 
@@ -158,14 +163,40 @@ _CONV = "SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversati
 _SPLIT = "list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？；;.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 _DOCLINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 
+_KIND = rf"""CASE WHEN s = '' THEN 'blank' WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(s, '^\|.*\|$') THEN 'table' WHEN refs OR regexp_matches(s, '(?i)^(参考文献|references?)\s*[:：]?\s*$') OR regexp_matches(s, '^(\[[0-9]+\]|[0-9]+[.)、])\s*.+') AND {_any(L.REFERENCE_MARKS, "lower(s)")} THEN 'reference'
+  WHEN regexp_matches(s, '^[-—]?\s*[0-9]{{1,4}}\s*[-—]?$') OR regexp_matches(s, '\.{{2,}}\s*[0-9]+$') OR regexp_matches(s, '^[0-9]+(\.[0-9]+)*\s+.{{2,40}}\s+[0-9]{{1,4}}$') THEN 'toc'
+  WHEN regexp_matches(s, '^([-*+]\s+|[0-9]+[.)、]\s+|[（(]?[一二三四五六七八九十]+[）)]\s*|[①②③④⑤⑥⑦⑧⑨⑩]\s*)') THEN 'list' ELSE 'paragraph' END"""
+_LAST = ", ".join(f"last_value(CASE WHEN level = {i} THEN title END IGNORE NULLS) OVER w AS t{i}, coalesce(last_value(CASE WHEN level = {i} THEN n END IGNORE NULLS) OVER w, 0) AS n{i}" for i in range(1, 7))
+_PATH = "list_filter([coalesce(t1, stem), " + ", ".join(f"CASE WHEN n{i} > greatest({', '.join(f'n{j}' for j in range(1, i))}, 0) THEN t{i} END" for i in range(2, 7)) + "], lambda x: x IS NOT NULL AND x <> '')"
+_BLOCKS = rf"""
+m AS (SELECT source_file, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t\x{{a0}}]+', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM f),
+l AS (SELECT source_file, regexp_replace(unnest(string_split(t, chr(10))), '^\s+|\s+$', '', 'g') AS s, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM m WHERE t <> ''),
+h AS (SELECT *, CASE WHEN regexp_matches(s, '^#{{1,6}}\s+.+$') THEN length(regexp_extract(s, '^(#{{1,6}})\s', 1)) END AS level, CASE WHEN regexp_matches(s, '^#{{1,6}}\s+.+$') THEN trim(regexp_extract(s, '^#{{1,6}}\s+(.+?)\s*$', 1)) END AS title, regexp_replace(source_file, '\.[^.]*$', '') AS stem FROM l),
+p AS (SELECT *, coalesce(regexp_matches(last_value(title IGNORE NULLS) OVER w, '(?i)^(参考文献|references?)\s*[:：]?\s*$'), false) AS refs, {_LAST} FROM h WINDOW w AS (PARTITION BY source_file ORDER BY n)),
+k AS (SELECT *, {_KIND} AS kind, {_PATH} AS path FROM p),
+g AS (SELECT *, CASE WHEN kind = 'heading' OR lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY source_file ORDER BY n)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY source_file ORDER BY n) AS island FROM g),
+b AS (SELECT source_file, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, any_value(kind) AS block_type, array_to_string(first(path ORDER BY n), ' > ') AS path, CAST(first(level ORDER BY n) AS INTEGER) AS heading_level, string_agg(coalesce(title, s), chr(10) ORDER BY n) AS text FROM i WHERE kind <> 'blank' GROUP BY source_file, island)
+SELECT source_file, start_line, end_line, block_type, path, heading_level, block_type NOT IN ('toc', 'reference', 'heading') AND length(text) > 1 AS is_indexable, md5(text) AS digest FROM b"""
+_HTML = "html"
+for _tag in ("script", "style", "head", "nav", "footer"):
+    _HTML = rf"regexp_replace({_HTML}, '<{_tag}\b(?s:.*?)</{_tag}>', ' ', 'gi')"
+for _i in range(1, 7):
+    _HTML = rf"regexp_replace({_HTML}, '<h{_i}\b[^>]*>((?s:.*?))</h{_i}>', chr(10) || chr(10) || '{'#' * _i} \1' || chr(10) || chr(10), 'gi')"
+_HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '<li\b[^>]*>', chr(10) || '- ', 'gi'), '<(?:br|/p|/div|/tr|/li|/ul|/ol)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
+for _name, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_name}', '{_to}')"
+
 ORACLE = {
     "query_analyze": f"WITH {_PLAN} SELECT query_id, q AS normalized_query, query_type, time_hint, rewrite_confidence, array_to_string(terms, '|') AS terms, use_rewrite, use_mmr, dense_top_k, sparse_top_k, rerank_top_k, max_branches FROM p",
     "source_file_filter": r"""WITH q AS (SELECT item_id AS query_id, regexp_replace(lower('see DOC_' || item_id || '.md and: ' || text || ' or doc-' || item_id * 3), '[\s\-_—–·•,，。；：:（）()《》“”"''`]+', '', 'g') AS q FROM benchmark),
 f AS (SELECT 'doc_' || doc_id || '.md' AS source_file, 'doc' || doc_id AS stem FROM documents),
 h AS (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id ORDER BY length(source_file) DESC, source_file) AS n FROM q JOIN f ON contains(q, stem))
 SELECT query_id, source_file FROM h WHERE n = 1""",
-    "filter_hints": "SELECT item_id AS query_id, '河南' AS region_hint, '暴雨' AS hazard_hint, CAST(NULL AS VARCHAR) AS document_type_hint FROM benchmark",
-    "domain_gate": f"""WITH c AS ({_CONV}), h AS (SELECT *, list_filter({INSIDE!r}, lambda x: contains(lower(query), x)) AS yes, list_filter({OUTSIDE!r}, lambda x: contains(lower(query), x)) AS no FROM c)
+    "filter_hints": f"WITH c AS (SELECT item_id AS query_id, {LEADS!r}[item_id % {len(LEADS)} + 1] || text AS q FROM benchmark) SELECT query_id, {_first(L.FILTER_REGIONS)} AS region_hint, {_first(L.FILTER_HAZARDS)} AS hazard_hint, {_first(L.FILTER_KINDS)} AS document_type_hint FROM c",
+    "domain_gate": f"""WITH c AS (SELECT query_id, {LEADS!r}[length(query) % {len(LEADS)} + 1] || query AS q FROM ({_CONV})),
+w AS (SELECT *, list_filter({L.DOMAIN!r}, lambda x: contains(lower(q), lower(x))){"".join(f" || regexp_extract_all(q, '{x}')" for x in L.DOMAIN_PATTERNS)} AS y, list_filter({L.OUTSIDE!r}, lambda x: contains(lower(q), lower(x))) AS no FROM c),
+h AS (SELECT *, list_filter(y, lambda x, i: list_position(y, x) = i) AS yes FROM w)
 SELECT query_id, CASE WHEN len(yes) > 0 THEN 'in_domain' WHEN len(no) > 0 THEN 'out_of_domain' ELSE 'uncertain' END AS decision,
 CASE WHEN len(yes) > 0 THEN array_to_string(list_transform(yes, lambda x: 'domain_term:' || x), '|') WHEN len(no) > 0 THEN array_to_string(list_transform(no, lambda x: 'out_of_domain_term:' || x), '|') ELSE 'no_explicit_domain_signal' END AS signals,
 CASE WHEN len(yes) > 0 THEN 'transparent_domain_signal' WHEN len(no) > 0 THEN 'transparent_out_of_domain_signal' ELSE 'ambiguous_domain_coverage' END AS reason FROM h""",
@@ -177,10 +208,8 @@ SELECT doc_id, CAST((i - 1) // 200 AS INTEGER) AS pos, md5(string_agg(tok, '' OR
 SELECT doc_id, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '^\|.*\|$') THEN 'table' WHEN regexp_matches(s, '(?i)^(参考文献|references?)\s*[:：]?\s*$') OR regexp_matches(s, '^(\[[0-9]+\]|[0-9]+[.)、])\s*.+') AND {_any(L.REFERENCE_MARKS, "lower(s)")} THEN 'reference'
 WHEN regexp_matches(s, '^[-—]?\s*[0-9]{{1,4}}\s*[-—]?$') OR regexp_matches(s, '\.{{2,}}\s*[0-9]+$') OR regexp_matches(s, '^[0-9]+(\.[0-9]+)*\s+.{{2,40}}\s+[0-9]{{1,4}}$') THEN 'toc'
 WHEN regexp_matches(s, '^([-*+]\s+|[0-9]+[.)、]\s+|[（(]?[一二三四五六七八九十]+[）)]\s*|[①②③④⑤⑥⑦⑧⑨⑩]\s*)') THEN 'list' ELSE 'paragraph' END AS kind, count(*) AS n FROM l GROUP BY ALL""",
-    "block_islands": f"""WITH l AS (SELECT doc_id, pos, line, CASE WHEN regexp_matches(substring(line, 1, 1), '[A-Z]') THEN 'upper' ELSE 'other' END AS kind FROM ({_DOCLINES})),
-g AS (SELECT *, CASE WHEN lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM g)
-SELECT doc_id, CAST(island AS BIGINT) AS island, any_value(kind) AS kind, CAST(min(pos) AS INTEGER) AS first_line, CAST(max(pos) AS INTEGER) AS last_line, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM i GROUP BY doc_id, island""",
+    "document_blocks": "WITH f AS (SELECT 'doc_' || doc_id || '.md' AS source_file, text FROM documents), " + _BLOCKS,
+    "page_blocks": f"WITH f AS (SELECT 'page_' || page_id || '.md' AS source_file, {_HTML} AS text FROM pages), " + _BLOCKS,
     "chunk_quality_report": r"""WITH c AS (SELECT 'doc_' || doc_id AS stem, text, source, len(regexp_extract_all('[文档] doc_' || doc_id || chr(10) || '[章节] ' || source || chr(10) || '[正文] ' || text, '[A-Za-z0-9]+|[^\s]')) AS n FROM documents)
 SELECT count(*) AS total_chunks, count(DISTINCT stem) AS source_files, CAST(max(n) AS INTEGER) AS max_tokens, round(avg(n), 4) AS avg_tokens, count(*) FILTER (n > 448) AS over_limit, CAST(0 AS BIGINT) AS missing_path, count(*) - count(DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g')) AS duplicates FROM c""",
     "duplicate_contents": r"SELECT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
