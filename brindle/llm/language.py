@@ -6,7 +6,7 @@ embedding and a filter's weights are folded into tables over byte pairs and byte
 table rows: the same convolution without multiplications. Every whole text is cut into windows, the last one padded; the
 probabilities of a text's windows are averaged by their length in bytes.
 
-The fit uses a bounded sample: for each language at most FIT_ROWS texts of at most FIT_CHARS characters (by hash of the id),
+The fit uses a bounded sample: for each language at most FIT_ROWS texts (by hash of the id) and of each FIT_WINDOWS windows spread over it,
 and of each text at most FIT_WINDOWS windows, evenly spread.
 
 Defined cases: null text, or one without a letter: ``und`` with score 0; with no labelled row at all every text is ``und``;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, spread, text_bytes
 
-FIT_ROWS, FIT_CHARS, FIT_WINDOWS = 300, 50_000, 6
+FIT_ROWS, FIT_WINDOWS = 300, 6
 LENGTH, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 #: Windows that go through the tables together.
 CHUNK = 512
@@ -149,23 +149,35 @@ def train(win: np.ndarray, target: np.ndarray, names: list[str], epochs: int = 6
 
 def fit_language(docs: DataFrame, allowed: F.Column | None = None, rows: int = FIT_ROWS) -> LanguageModel:
     """allowed: which ids may teach (a condition on doc_id)."""
-    usable = docs.select("doc_id", "lang", F.length("text").alias("n")).filter("doc_id is not null and lang is not null").filter(F.col("n").between(1, FIT_CHARS)).filter(F.lit(True) if allowed is None else allowed).select("doc_id", "lang")
+    usable = docs.select("doc_id", "lang", F.length("text").alias("n")).filter("doc_id is not null and lang is not null").filter("n > 0").filter(F.lit(True) if allowed is None else allowed).select("doc_id", "lang")
     # A share of each language's hashes that holds about four times the rows wanted, so that ranking never gathers a whole language.
     share = usable.groupBy("lang").agg((F.lit(4.0 * rows) / F.count("*")).alias("share"))  # one row for each language
     few = usable.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = few.select("doc_id", rank.alias("k")).filter(F.col("k") <= rows).select("doc_id").distinct()  # at most FIT_ROWS for each language
-    got = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(F.length("text").between(1, FIT_CHARS)).join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    some = docs.select("doc_id", "text", "lang").filter("lang is not null and length(text) > 0").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")
+    ship(docs.sparkSession)
+    got = some.mapInArrow(_fit_windows, "doc_id long, lang string, place long, window binary").toArrow()  # at most FIT_WINDOWS short windows of each text
+    got = got.sort_by([(c, "ascending") for c in ("doc_id", "place", "window")])
     if not got.num_rows:
         return train(np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), [])
     names = sorted(set(got["lang"].to_pylist()))
-    win, text, _ = windows(*text_bytes(got["text"]))
-    n = np.bincount(text, minlength=got.num_rows)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    step = np.maximum(1, n // FIT_WINDOWS)[text]
-    pick = (place % step == 0) & (place // step < FIT_WINDOWS)
-    target = np.array([names.index(x) for x in got["lang"].to_pylist()])[text[pick]]
-    return train(win[pick], target, names)
+    win = np.frombuffer(b"".join(got["window"].to_pylist()), np.uint8).reshape(-1, LENGTH)
+    return train(win, np.array([names.index(x) for x in got["lang"].to_pylist()]), names)
+
+
+def _fit_windows(batches):
+    """FIT_WINDOWS windows of each text, spread over the whole of it."""
+    for batch in batches:
+        for a in range(0, len(batch), 100):
+            part = batch.slice(a, 100)
+            win, text, _ = windows(*text_bytes(part["text"]))
+            n = np.bincount(text, minlength=len(part))
+            place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+            step = np.maximum(1, n // FIT_WINDOWS)[text]
+            pick = np.flatnonzero((place % step == 0) & (place // step < FIT_WINDOWS))
+            row = pa.array(text[pick])
+            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(row), "lang": part["lang"].take(row), "place": place[pick], "window": pa.array([w.tobytes() for w in win[pick]], pa.binary())})
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

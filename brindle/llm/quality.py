@@ -175,7 +175,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed: F.Column | None = N
     clean = labels.filter("doc_id is not null and quality in (0, 1)").filter(F.lit(True) if allowed is None else allowed)
     clean = clean.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("top")).filter("y = top").select("doc_id", "y")
     chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most FIT_ROWS rows: small enough to broadcast
-    got = spread(docs).filter(F.length("text") <= FIT_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    # Of a longer text a piece of FIT_CHARS teaches, from a place that its id says: what reaches the driver is bounded by rows times FIT_CHARS.
+    over = F.length("text") - FIT_CHARS
+    piece = F.when(over <= 0, F.col("text")).otherwise(F.expr(f"substring(text, cast(pmod(xxhash64(doc_id), length(text) - {FIT_CHARS}) as int) + 1, {FIT_CHARS})"))
+    got = spread(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", piece.alias("text"), "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["y"].to_numpy())
 
 
