@@ -16,7 +16,7 @@ from brindle.llm.exact_dedup import exact_dedup
 from brindle.llm.packing import pack_sequences
 from brindle.llm.pii import redact_texts
 from brindle.llm.quality import fit_quality, keep_good
-from brindle.llm.simhash import near_groups
+from brindle.llm.simhash import similar_groups
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints one row stays, that of the smallest doc_id; a row without an id stays only where none has one."""
-    return _one_of_each(docs, lambda t: near_groups(t).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of texts that are similar by their five-word shingles (0.8 or more) one row stays, that of the smallest doc_id; a row without an id stays only where none has one."""
+    return _one_of_each(docs, lambda t: similar_groups(t).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
