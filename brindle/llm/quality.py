@@ -7,8 +7,8 @@ the mean of its tokens' vectors and the shares of its shapes, over the whole tex
 with Adam; a temperature, fitted on rows that the training did not see, calibrates its probabilities.
 
 The fit uses a bounded sample of labelled rows: at most FIT_ROWS texts of at most FIT_CHARS characters, those with the smallest hash of
-their id among the rows that the caller allows. Scoring reads every whole text, a megabyte at a time; slices end at white space, and
-a run of five megabytes without any is divided there.
+their id among the rows that the caller allows. Scoring reads every whole text, a quarter of a megabyte at a time; slices end at white space, and
+a run of four megabytes without any is divided there.
 
 Defined cases: null text counts as empty; an empty text is a document without tokens and gets a score as any other;
 labels that are null or contradict one another for an id are left out; with no usable label, or labels of one kind alone, every score is
@@ -29,9 +29,9 @@ from .common import U64, mix, power_table, ship, spread, text_bytes
 FIT_ROWS, FIT_CHARS = 6000, 50_000
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 SHAPES = 4 * 16 * 2
-SLICE = 1_000_000
+SLICE = 250_000
 _R = 0x2545F4914F6CDD1D | 1
-_POW, _INV = power_table(_R, SLICE + 4_000_001), power_table(pow(_R, -1, 1 << 64), SLICE + 4_000_001)
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -39,6 +39,14 @@ _CLASS[48:58] = 2
 _CODE = mix(np.arange(1, 257, dtype=U64))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as the longest slice so far has needed."""
+    if not _tables or len(_tables[-1][0]) < n:
+        n = max(n, SLICE + 65_536)
+        _tables[:] = [(power_table(_R, n), power_table(pow(_R, -1, 1 << 64), n))]
+    return _tables[-1]
+
+
 def tokens(data: np.ndarray, at: np.ndarray):
     """Yields (document, slot, shape) of the tokens in reading order, a slice at a time. at: starts of documents."""
     a, n = 0, len(data)
@@ -60,8 +68,9 @@ def tokens(data: np.ndarray, at: np.ndarray):
         start, end = start[keep], end[keep]
         if len(start):
             total = np.zeros(len(part) + 1, U64)
-            np.cumsum(_CODE[part] * _POW[: len(part)], out=total[1:])
-            h = mix((total[end] - total[start]) * _INV[start])
+            power, inverse = _powers(len(part))
+            np.cumsum(_CODE[part] * power[: len(part)], out=total[1:])
+            h = mix((total[end] - total[start]) * inverse[start])
             doc = np.searchsorted(at, start + a, side="right") - 1
             upper = np.zeros(len(part) + 1, np.int32)
             np.cumsum((part >= 65) & (part < 91), out=upper[1:])
