@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import strip
 
+from .store import keep
+
 SCORES = ("fusion_score", "rerank_score", "mmr_score", "dense_score")
 
 
@@ -25,7 +27,7 @@ def expand(candidates: DataFrame, chunks: DataFrame, extra: int = 1, near: float
     Offsets are exploded first, so neighbours come by an equality join. Scores decay; missing ones stay missing.
     """
     place = chunks.select("chunk_id", "source_file", "chunk_index", "section_path_text")
-    own = with_scores(candidates).select("query_id", "chunk_id", *SCORES).join(place, "chunk_id")
+    own = keep(with_scores(candidates).select("query_id", "chunk_id", *SCORES).join(place, "chunk_id"), "candidates")  # a query's depth of rows, read three times
     scaled = lambda f: [(F.col(c) * f).alias(c) for c in SCORES]
     shift = own.select("query_id", "source_file", "section_path_text", *SCORES, F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index"))
     beside = shift.join(place, ["source_file", "chunk_index", "section_path_text"]).select("query_id", "chunk_id", *scaled(near))
@@ -69,7 +71,8 @@ def fill_budget(merged: DataFrame, budget: int = 1200, least: int = 1) -> DataFr
 
 
 def pack(candidates: DataFrame, chunks: DataFrame, budget: int = 1200, extra: int = 1, least: int = 1) -> DataFrame:
-    return fill_budget(merge_adjacent(expand(candidates, chunks, extra), chunks), budget, least)
+    merged = keep(merge_adjacent(expand(candidates, chunks, extra), chunks), "merged")  # read for its sizes and then for what is picked
+    return fill_budget(merged, budget, least)
 
 
 def explode(packed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.sparse import Index
+from brindle.operators.store import spread
 
 _built: dict[tuple[str, str, str], Index] = {}
 
@@ -23,7 +24,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut into lines as chunks: the section changes every five lines."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
     file = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
     return t.select(F.concat(file, F.lit("::"), F.col("chunk_index").cast("string")).alias("chunk_id"), file.alias("source_file"), "chunk_index", F.concat(F.lit("s"), F.floor(F.col("chunk_index") / 5).cast("string")).alias("section_path_text"), "content", F.size(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9]+|\S"), F.lit(0))).alias("token_count"), "doc_id")
 
