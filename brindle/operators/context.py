@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import strip
 
-from .store import keep
+from .store import keep, small
 
 SCORES = ("fusion_score", "rerank_score", "mmr_score", "dense_score")
 
@@ -24,17 +24,21 @@ def with_scores(df: DataFrame) -> DataFrame:
 def expand(candidates: DataFrame, chunks: DataFrame, extra: int = 1, near: float = 0.97, section: float = 0.94) -> DataFrame:
     """Candidates, their neighbours by index in the same section and the first ``extra`` other chunks of the section, each with its best scores.
 
-    Offsets are exploded first, so neighbours come by an equality join. Scores decay; missing ones stay missing.
+    Offsets are exploded first, so neighbours come by an equality join. Scores decay; missing ones stay missing. Candidates are few beside the
+    chunks: they travel, the chunks stay where they are read, and places are counted in the candidates' sections alone.
     """
     place = chunks.select("chunk_id", "source_file", "chunk_index", "section_path_text")
-    own = keep(with_scores(candidates).select("query_id", "chunk_id", *SCORES).join(place, "chunk_id"), "candidates")  # a query's depth of rows, read three times
+    some = keep(with_scores(candidates).select("query_id", "chunk_id", *SCORES), "candidates")  # a query's depth of rows, read again below
+    own = keep(small(some).join(place, "chunk_id"), "placed")
     scaled = lambda f: [(F.col(c) * f).alias(c) for c in SCORES]
+    # The sections of candidates, in one pass over the chunks; a chunk stands there once.
+    near_by = keep(place.join(small(own.select("source_file", "section_path_text").distinct()), ["source_file", "section_path_text"], "left_semi"), "sections")
     shift = own.select("query_id", "source_file", "section_path_text", *SCORES, F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index"))
-    beside = shift.join(place, ["source_file", "chunk_index", "section_path_text"]).select("query_id", "chunk_id", *scaled(near))
+    beside = shift.join(near_by, ["source_file", "chunk_index", "section_path_text"]).select("query_id", "chunk_id", *scaled(near))
     rows = own.select("query_id", "chunk_id", *SCORES).unionByName(beside)
     if extra > 0:
         # The first extra + 1 chunks of a section are all that any of its chunks can need.
-        first = place.withColumn("n", F.row_number().over(W.partitionBy("source_file", "section_path_text").orderBy("chunk_index"))).filter(F.col("n") <= extra + 1)
+        first = near_by.withColumn("n", F.row_number().over(W.partitionBy("source_file", "section_path_text").orderBy("chunk_index"))).filter(F.col("n") <= extra + 1)
         mates = own.alias("o").join(first.alias("f"), ["source_file", "section_path_text"]).filter("o.chunk_id <> f.chunk_id")
         mates = mates.withColumn("m", F.row_number().over(W.partitionBy("query_id", "o.chunk_id").orderBy("f.n"))).filter(F.col("m") <= extra)
         rows = rows.unionByName(mates.select("query_id", F.col("f.chunk_id").alias("chunk_id"), *scaled(section)))
@@ -44,7 +48,8 @@ def expand(candidates: DataFrame, chunks: DataFrame, extra: int = 1, near: float
 
 def merge_adjacent(expanded: DataFrame, chunks: DataFrame) -> DataFrame:
     """Runs of consecutive chunks of a section become one row: ids, indexes, joined content, summed tokens, best scores."""
-    df = expanded.join(chunks.select("chunk_id", "source_file", "chunk_index", "section_path_text", "content", "token_count"), "chunk_id")
+    few = small(keep(expanded, "expanded"))
+    df = few.join(chunks.select("chunk_id", "source_file", "chunk_index", "section_path_text", "content", "token_count"), "chunk_id")
     by = ("query_id", "source_file", "section_path_text")
     df = df.withColumn("island", F.col("chunk_index") - F.row_number().over(W.partitionBy(*by).orderBy("chunk_index")))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content")))

@@ -41,8 +41,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     """queries: query_id, vector. vectors: chunk_id, vector (and what keep needs). query_id, chunk_id, score, rank.
 
     Queries go to the workers in blocks of at most QUERY_BLOCK rows, so what travels has a fixed bound; the vectors stay where they are
-    read. A task meets its rows batch by batch as matrix products and keeps k rows a query, ties included, so what is shuffled is
-    k rows for each query and task whatever the size of the table. Vectors of another width than the queries', or missing ones, raise.
+    read. A task meets its rows batch by batch as matrix products and keeps k rows a query, so what is shuffled is k rows for each query
+    and task whatever the size of the table and however many rows tie (copies). Vectors of another width than the queries', or missing ones, raise.
     Where queries have a source_file, a query that names one meets the chunks of that file alone.
     """
     if metric not in METRICS:
@@ -89,24 +89,21 @@ def _block_topk(asked: pa.Table, x: DataFrame, k: int, metric: str, width: int,
             names = held[-1][1] if names is None else pa.concat_arrays([names, held[-1][1]])
             scores = np.concatenate([scores, held[-1][2]])
             held.clear()
-            if len(rows) > 4 * k * len(q):  # cut back to the k best of each query and their ties
-                stay = _cut(rows, scores, k)
+            if len(rows) > 4 * k * len(q):  # cut back to the k best of each query
+                stay = _cut(rows, scores, names, k)
                 rows, names, scores = rows[stay], names.take(pa.array(stay)), scores[stay]
         if len(rows):
-            stay = _cut(rows, scores, k)
+            stay = _cut(rows, scores, names, k)
             yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(rows[stay])), "chunk_id": names.take(pa.array(stay)), "score": scores[stay]})
 
     return x.mapInArrow(run, schema)
 
 
-def _cut(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    rounded = np.round(scores, 9)
-    order = np.lexsort((-rounded, rows))
-    r, s = rows[order], rounded[order]
-    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    size = np.diff(np.append(start, len(r)))
-    bar = s[start + np.minimum(k, size) - 1]
-    return order[s >= np.repeat(bar, size)]
+def _cut(rows: np.ndarray, scores: np.ndarray, names: pa.Array, k: int) -> np.ndarray:
+    """Places of the k best of each row: by rounded score, then by the smaller name."""
+    order = pc.sort_indices(pa.table({"r": rows, "s": np.round(scores, 9), "n": names}), [("r", "ascending"), ("s", "descending"), ("n", "ascending")]).to_numpy()
+    sizes = np.bincount(rows)
+    return order[np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k]
 
 
 def width_violations(vectors: DataFrame, width: int) -> DataFrame:

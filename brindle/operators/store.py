@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,15 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Most rows of a small table that are broadcast whatever its estimated size.
+FEW = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table that is cheap to read again, marked for a broadcast if it has few rows: what it joins then stays where it is read."""
+    return F.broadcast(df) if at_most(df, FEW) else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the files give fewer splits than there are cores; large tables stay as they are."""
     spark = df.sparkSession
