@@ -12,6 +12,7 @@ from brindle.functions import lexicons as L
 
 from . import answers, context, dense, fusion, models, queries, sparse
 from .store import keep as keep_rows
+from .store import small
 
 
 @dataclass(frozen=True)
@@ -83,13 +84,14 @@ def search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, opts: Op
     cut = lambda t, c: t.join(flags.select("query_id", c), "query_id").filter(F.col("rank") <= F.col(c)).drop(c)
     hits = cut(fusion.rrf(cut(near, "dense_k"), cut(terms, "sparse_k"), most.depth), "depth").join(flags.drop("dense_k", "sparse_k", "depth"), "query_id")
     if score is not None:
-        text = hits.withColumnRenamed("_query", "query").join(chunks.select("chunk_id", "content"), "chunk_id")
+        text = small(keep_rows(hits, "fused")).withColumnRenamed("_query", "query").join(chunks.select("chunk_id", "content"), "chunk_id")
         hits = fusion.rerank(text, F.when(F.col("rerank"), score)).drop("content", "query", "stage4_rank")
     else:
         hits = hits.withColumn("rerank_score", F.lit(None).cast("double"))
     hits = keep_rows(hits, "hits")  # a ranked list for each branch, read twice below: bounded by depth
     top = max(o.branch_candidates, o.top_k)
-    picked = fusion.mmr(hits.filter("diverse").select("query_id", "chunk_id", "rank", F.coalesce("rerank_score", "fusion_score").alias("relevance")), vectors, top, o.weight, max(o.mmr_pre, top))
+    mixed = small(hits.filter("diverse").select("query_id", "chunk_id", "rank", F.coalesce("rerank_score", "fusion_score").alias("relevance")))
+    picked = fusion.mmr(mixed, vectors, top, o.weight, max(o.mmr_pre, top))
     chosen = hits.join(picked.select("query_id", "chunk_id", "mmr_score", F.col("rank").alias("mmr_rank")), ["query_id", "chunk_id"], "left")
     chosen = chosen.filter("mmr_rank is not null or not diverse").withColumn("pos", F.coalesce("mmr_rank", "rank")).filter(F.col("pos") <= top)
     return fusion.fuse_branches(chosen.select(F.col("_q").alias("query_id"), "branch", "branch_ord", "weight", "pos", "chunk_id", "dense_score", "sparse_score", "rerank_score", "mmr_score"), o.top_k, o.branch_k)
