@@ -246,7 +246,7 @@ def compact_text(s, d):
 
 def _folder(s, d):
     """Documents cut into lines, and their vectors by the default encoder."""
-    lines = C.lines(s, d).filter("content <> ''")
+    lines = C.lines(s, d, dealt=True).filter("content <> ''")
     return lines, models.embed(lines.select("chunk_id", "content"), "content").select("chunk_id", "vector")
 
 
