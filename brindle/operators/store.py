@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,33 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) < cores * (128 << 20) else df
+
+
+def row_groups(df: DataFrame) -> list[int]:
+    """Compressed bytes of each row group of the Parquet files that df reads. A row group is read by one task."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    parquet, found = jvm.org.apache.parquet.hadoop, []
+    for file in df.inputFiles():
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)), conf))
+        try:
+            found += [group.getCompressedSize() for group in reader.getRowGroups()]
+        finally:
+            reader.close()
+    return found
+
+
+#: Largest row group that several tasks read: each of them holds its compressed columns in memory.
+SHARED_BYTES = 64 << 20
+
+
+def shares(df: DataFrame, key: str) -> DataFrame:
+    """A Parquet table whose rows go over all cores without a shuffle: of fewer row groups than cores, each is read by several tasks, and each task
+    keeps its share of the rows by key. For work that costs much more than reading. Larger row groups stay as they are if half the cores have one,
+    and else their rows are shuffled (``spread``)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or not (groups := row_groups(df)) or len(groups) >= cores:
+        return df
+    if max(groups) > SHARED_BYTES:
+        return df if 2 * len(groups) >= cores else spread(df)
+    n = -(-cores // len(groups))
+    return reduce(DataFrame.unionAll, [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)])
