@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,16 +91,48 @@ def row_groups(df: DataFrame) -> list[int]:
 
 #: Largest row group that several tasks read: each of them holds its compressed columns in memory.
 SHARED_BYTES = 64 << 20
+#: Of larger row groups, so many compressed bytes are shuffled at once.
+DEALT_BYTES = 256 << 20
 
 
-def shares(df: DataFrame, key: str) -> DataFrame:
-    """A Parquet table whose rows go over all cores without a shuffle: of fewer row groups than cores, each is read by several tasks, and each task
-    keeps its share of the rows by key. For work that costs much more than reading. Larger row groups stay as they are if half the cores have one,
-    and else their rows are shuffled (``spread``)."""
+def parts(df: DataFrame, key: str) -> list[DataFrame]:
+    """A Parquet table whose rows go over all cores, as one part or as several to be worked on one after the other; each row is in one of them.
+
+    Of fewer row groups than cores, each is read by several tasks, and each task keeps its share of the rows by key: nothing is shuffled. For work
+    that costs much more than reading. Larger row groups stay as they are if half the cores have one. Else their rows are shuffled, but only
+    DEALT_BYTES of them in a part: each part reads the row groups again, and what it has shuffled can go before the next (``freed``). Rows are
+    dealt by a hash of all columns, which needs no sort, so that nothing is spilled on the way.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores or not (groups := row_groups(df)) or len(groups) >= cores:
-        return df
-    if max(groups) > SHARED_BYTES:
-        return df if 2 * len(groups) >= cores else spread(df)
-    n = -(-cores // len(groups))
-    return reduce(DataFrame.unionAll, [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)])
+        return [df]
+    if max(groups) <= SHARED_BYTES:
+        n = -(-cores // len(groups))
+        return [reduce(DataFrame.unionAll, [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)])]
+    if 2 * len(groups) >= cores:
+        return [df]
+    n, row = -(-sum(groups) // DEALT_BYTES), F.xxhash64(*df.columns)
+    return [df.filter(F.pmod(row, F.lit(n)) == i).repartition(cores, row) for i in range(n)]
+
+
+def shares(df: DataFrame, key: str) -> DataFrame:
+    """``parts`` as one table."""
+    return reduce(DataFrame.unionAll, parts(df, key))
+
+
+#: Spark removes what a query has shuffled as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files, which otherwise stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
